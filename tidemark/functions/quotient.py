@@ -1,0 +1,109 @@
+"""Quotient filters in numpy: sorted fingerprints stored as remainders with three metadata bits a slot."""
+
+from __future__ import annotations
+
+import struct
+
+import numpy as np
+
+_HEAD = struct.Struct("<BBIqI")  # quotient bits, remainder bits, entries, least payload, slots
+
+
+def pack(values: np.ndarray, bits: int) -> bytes:
+    """Unsigned integers in ``bits`` bits each."""
+    if not len(values) or not bits:
+        return b""
+    shifts = np.arange(bits, dtype=np.uint64)
+    return np.packbits(((values.astype(np.uint64)[:, None] >> shifts) & np.uint64(1)).astype(np.uint8).ravel(), bitorder="little").tobytes()
+
+
+def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
+    if not n or not bits:
+        return np.zeros(n, np.uint64)
+    flat = np.unpackbits(np.frombuffer(data, np.uint8), count=n * bits, bitorder="little").reshape(n, bits).astype(np.uint64)
+    return flat @ (np.uint64(1) << np.arange(bits, dtype=np.uint64))
+
+
+def least_per_fingerprint(prints: np.ndarray, payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct fingerprints, each with the least payload among its occurrences."""
+    order = np.lexsort((payload, prints))
+    prints, payload = prints[order], payload[order]
+    first = np.ones(len(prints), bool)
+    first[1:] = prints[1:] != prints[:-1]
+    return prints[first], payload[first]
+
+
+def encode(prints: np.ndarray, payload: np.ndarray, quotient_bits: int, remainder_bits: int) -> bytes:
+    """A filter of sorted distinct fingerprints below 2^(quotient_bits + remainder_bits).
+
+    Each entry sits at the first free slot from its quotient on. Per slot the occupied, continuation and
+    shifted bits and the remainder are kept; the payloads follow as offsets from the least one, in as many
+    bits as the widest needs. Runs past the last quotient extend the table instead of wrapping round.
+    """
+    n = len(prints)
+    q = (prints >> np.uint64(remainder_bits)).astype(np.int64)
+    rem = prints & np.uint64((1 << remainder_bits) - 1)
+    i = np.arange(n)
+    at = i + np.maximum.accumulate(q - i) if n else i
+    slots = max(1 << quotient_bits, int(at[-1]) + 1 if n else 0)
+    occupied, continuation, shifted = (np.zeros(slots, bool) for _ in range(3))
+    occupied[q] = True
+    continuation[at[1:]] = q[1:] == q[:-1]
+    shifted[at] = at != q
+    remainders = np.zeros(slots, np.uint64)
+    remainders[at] = rem
+    low = int(payload.min()) if n else 0
+    wide = int(int(payload.max()) - low).bit_length() if n else 0
+    body = b"".join(np.packbits(x, bitorder="little").tobytes() for x in (occupied, continuation, shifted))
+    return _HEAD.pack(quotient_bits, remainder_bits, n, low, slots) + bytes([wide]) + body + pack(remainders, remainder_bits) + pack((payload - low).astype(np.uint64), wide)
+
+
+def decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Sorted fingerprints, payloads, quotient bits and remainder bits."""
+    quotient_bits, remainder_bits, n, low, slots = _HEAD.unpack_from(blob)
+    wide = blob[_HEAD.size]
+    at, size = _HEAD.size + 1, -(-slots // 8)
+    flags = []
+    for _ in range(3):
+        flags.append(np.unpackbits(np.frombuffer(blob, np.uint8, size, at), count=slots, bitorder="little").astype(bool))
+        at += size
+    occupied, continuation, shifted = flags
+    size = -(-slots * remainder_bits // 8)
+    remainders = unpack(blob[at:at + size], slots, remainder_bits)
+    payload = unpack(blob[at + size:], n, wide).astype(np.int64) + low
+    # a slot is in use if it is shifted, continues a run, or is the start of the run of its own quotient
+    used = occupied | continuation | shifted
+    heads = used & ~continuation
+    quotients = np.flatnonzero(occupied)  # the k-th run belongs to the k-th occupied quotient
+    run = np.cumsum(heads[used]) - 1
+    q = quotients[run] if n else np.zeros(0, np.int64)
+    return (q.astype(np.uint64) << np.uint64(remainder_bits)) | remainders[used], payload, quotient_bits, remainder_bits
+
+
+def merge(a: bytes, b: bytes) -> bytes:
+    """Both filters in one; a fingerprint in both keeps the lesser payload. The widths must agree."""
+    pa, la, q, r = decode(a)
+    pb, lb, q2, r2 = decode(b)
+    if (q, r) != (q2, r2):
+        raise ValueError("filters of different widths")
+    # two sorted lists: each entry moves up by the number of entries of the other list before it
+    prints, payload = np.empty(len(pa) + len(pb), np.uint64), np.empty(len(pa) + len(pb), np.int64)
+    ia = np.arange(len(pa)) + np.searchsorted(pb, pa, "left")
+    ib = np.arange(len(pb)) + np.searchsorted(pa, pb, "right")
+    prints[ia], payload[ia] = pa, la
+    prints[ib], payload[ib] = pb, lb
+    if not len(prints):
+        return a
+    start = np.ones(len(prints), bool)
+    start[1:] = prints[1:] != prints[:-1]
+    return encode(prints[start], np.minimum.reduceat(payload, np.flatnonzero(start)), q, r)
+
+
+def lookup(blob: bytes, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each wanted fingerprint whether it is stored, and its payload (0 where it isn't)."""
+    prints, payload, _, _ = decode(blob)
+    if not len(prints):
+        return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+    i = np.minimum(np.searchsorted(prints, wanted), len(prints) - 1)
+    hit = prints[i] == wanted
+    return hit, np.where(hit, payload[i], 0)

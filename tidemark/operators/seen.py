@@ -1,0 +1,159 @@
+"""Has this key been seen before? A sharded quotient filter with first positions."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import quotient
+from ..session import checkpoint
+from .skew import salted_join
+
+
+class SeenFilter:
+    """Which keys occurred, and from which position on, in bounded memory.
+
+    The 64-bit hash of a key is cut into shard, quotient and remainder. A shard is one row holding a
+    quotient filter: remainders in the slots of their quotients, three bits of run metadata a slot, and
+    the first position of each fingerprint. Keys themselves aren't kept. A shard holds about
+    ``shard_keys`` keys, whatever the number of all keys, so no task and not the driver holds more.
+
+    The answer "not seen" is always right. "Seen" is wrong if a key's fingerprint of p bits equals that of
+    another key that came early enough: at most n/2^p for n stored keys (``expected_error``).
+    """
+
+    SCHEMA = "shard long, entries long, bytes long, blob binary"
+
+    def __init__(self, shards: DataFrame, shard_bits: int, quotient_bits: int, remainder_bits: int):
+        self.shards, self.shard_bits, self.quotient_bits, self.remainder_bits = shards, shard_bits, quotient_bits, remainder_bits
+
+    @staticmethod
+    def widths(keys: int, shard_keys: int = 1 << 17, load: float = 0.75) -> tuple[int, int]:
+        """Bits of shard and quotient for an expected number of keys."""
+        shard_bits = max(0, math.ceil(math.log2(max(1, keys) / shard_keys)))
+        return shard_bits, max(3, math.ceil(math.log2(max(1, keys) / (1 << shard_bits) / load)))
+
+    def _split(self, key: Column) -> tuple[Column, Column]:
+        """Shard and fingerprint of a key: the highest bits of its hash and those below them."""
+        h, bits = F.xxhash64(key), self.quotient_bits + self.remainder_bits
+        shard = F.shiftrightunsigned(h, 64 - self.shard_bits) if self.shard_bits else F.lit(0).cast("long")
+        return shard, F.shiftrightunsigned(h, 64 - self.shard_bits - bits).bitwiseAND(F.lit((1 << bits) - 1))
+
+    @classmethod
+    def build(cls, firsts: DataFrame, key: str, position: str, shard_bits: int, quotient_bits: int, remainder_bits: int = 13) -> SeenFilter:
+        """A filter of (key, first position); null keys and positions are left out.
+
+        Rows should be distinct in ``key`` (pre-aggregated), else a hot key's rows meet in its shard.
+        """
+        if shard_bits + quotient_bits + remainder_bits > 63:
+            raise ValueError("shard, quotient and remainder bits must not exceed 63 together")
+        self = cls(None, shard_bits, quotient_bits, remainder_bits)  # type: ignore[arg-type]
+        shard, fingerprint = self._split(F.col(key))
+        rows = firsts.filter(F.col(key).isNotNull() & F.col(position).isNotNull()).select(shard.alias("shard"), fingerprint.alias("fp"), F.col(position).cast("long").alias("pos"))
+
+        def one(t: pa.Table) -> pa.Table:
+            prints, first = quotient.least_per_fingerprint(t["fp"].to_numpy().astype(np.uint64), t["pos"].to_numpy())
+            blob = quotient.encode(prints, first, quotient_bits, remainder_bits)
+            return pa.table({"shard": [t["shard"][0].as_py()], "entries": [len(prints)], "bytes": [len(blob)], "blob": [blob]}, schema=_SHARD)
+
+        self.shards = rows.groupBy("shard").applyInArrow(one, cls.SCHEMA)
+        return self
+
+    def merge(self, other: SeenFilter) -> SeenFilter:
+        """Both filters, shard by shard, from their sorted fingerprints; no key is read again."""
+        if (self.shard_bits, self.quotient_bits, self.remainder_bits) != (other.shard_bits, other.quotient_bits, other.remainder_bits):
+            raise ValueError("filters of different widths")
+
+        def one(t: pa.Table) -> pa.Table:
+            blobs = t["blob"].to_pylist()
+            blob = blobs[0]
+            for b in blobs[1:]:
+                blob = quotient.merge(blob, b)
+            return pa.table({"shard": [t["shard"][0].as_py()], "entries": [len(quotient.decode(blob)[0])], "bytes": [len(blob)], "blob": [blob]}, schema=_SHARD)
+
+        both = self.shards.unionByName(other.shards).groupBy("shard").applyInArrow(one, self.SCHEMA)
+        return SeenFilter(both, self.shard_bits, self.quotient_bits, self.remainder_bits)
+
+    def probe(self, keys: DataFrame, key: str) -> DataFrame:
+        """Of distinct keys those that may have been seen: ``key`` and ``first_pos`` of the fingerprint."""
+        shard, fingerprint = self._split(F.col(key))
+        wanted = keys.select(shard.alias("shard"), fingerprint.alias("fp"), F.col(key).alias("key")).groupBy("shard")
+
+        def one(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not len(left) or not len(right):
+                return _HIT.empty_table()
+            hit, first = quotient.lookup(right["blob"][0].as_py(), left["fp"].to_numpy().astype(np.uint64))
+            return pa.table({"key": left["key"].filter(pa.array(hit)), "first_pos": first[hit]}, schema=_HIT)
+
+        return wanted.cogroup(self.shards.groupBy("shard")).applyInArrow(one, "key string, first_pos long").withColumnRenamed("key", key)
+
+    def expected_error(self) -> Column:
+        """Probability that a key never seen is answered with "seen", for the summed entries of all shards."""
+        bits = self.shard_bits + self.quotient_bits + self.remainder_bits
+        return 1 - F.exp(-F.sum("entries") / F.lit(float(2**bits)))
+
+
+_SHARD = pa.schema([("shard", pa.int64()), ("entries", pa.int64()), ("bytes", pa.int64()), ("blob", pa.binary())])
+_HIT = pa.schema([("key", pa.string()), ("first_pos", pa.int64())])
+
+
+def first_positions(log: DataFrame, key: str, position: str) -> DataFrame:
+    """Distinct non-empty keys with their lowest position; a key shrinks to a row per task before the shuffle."""
+    return log.filter(F.col(key) != "").groupBy(key).agg(F.min(position).alias(position))
+
+
+def filter_of_log(log: DataFrame, key: str, position: str, remainder_bits: int = 13, segments: int = 2) -> tuple[SeenFilter, DataFrame]:
+    """The filter of a log, built over segments of its positions that are merged; also the first positions."""
+    firsts = checkpoint(first_positions(log, key, position), "firsts")
+    n, lo, hi = firsts.agg(F.count(F.lit(1)), F.min(position), F.max(position)).first()
+    shard_bits, quotient_bits = SeenFilter.widths(n)
+    step = max(1, -(-((hi or 0) - (lo or 0) + 1) // segments))
+    merged = None
+    for i in range(segments):
+        # by first position: each key enters the segment in which it appeared
+        inside = F.floor((F.col(position) - F.lit(lo or 0)) / step) == i
+        part = SeenFilter.build(firsts.filter(inside), key, position, shard_bits, quotient_bits, remainder_bits)
+        merged = part if merged is None else merged.merge(part)
+    return merged, firsts
+
+
+def answered(requests: DataFrame, log: DataFrame, request_id: str, key: str, limit: str, position: str, remainder_bits: int = 13) -> DataFrame:
+    """For each request the filter's answer and the true one: id, ``maybe`` and ``seen``.
+
+    Only requests the filter answers with "seen" come out; all others were surely not seen. ``seen`` is
+    the exact check of those rows: the key's true first position is joined to the keys the filter passed.
+    Requests with a null or empty key or null limit are never seen. Repeated requests come out once.
+    Request keys are made distinct before the probe, and joined back with frequent keys broadcast.
+    """
+    wanted = requests.filter((F.col(key) != "") & F.col(limit).isNotNull()).select(F.col(request_id).alias("__id"), F.col(key).alias("__key"), F.col(limit).alias("__limit"))
+    built, firsts = filter_of_log(log, key, position, remainder_bits)
+    passed = built.probe(wanted.select("__key").distinct(), "__key")
+    exact = firsts.select(F.col(key).alias("__key"), F.col(position).alias("__true"))
+    passed = checkpoint(passed.join(exact, "__key", "left"), "passed")
+    joined = salted_join(wanted, passed, "__key")
+    return (
+        joined.filter(F.col("first_pos") <= F.col("__limit"))
+        .groupBy(F.col("__id").alias(request_id))
+        .agg(F.max(F.lit(True)).alias("maybe"), F.max(F.coalesce(F.col("__true") <= F.col("__limit"), F.lit(False))).alias("seen"))
+    )
+
+
+def error_report(requests: DataFrame, log: DataFrame, request_id: str, key: str, limit: str, position: str, remainder_bits: int = 13) -> DataFrame:
+    """One row: distinct requests with a key, positive answers, wrong ones, measured rate, expected rate, bits a key.
+
+    The measured rate is wrong answers over truly unseen requests (0 without such requests).
+    """
+    asked = requests.filter((F.col(key) != "") & F.col(limit).isNotNull()).agg(F.countDistinct(request_id).alias("requests"))
+    built, _ = filter_of_log(log, key, position, remainder_bits)
+    size = built.shards.agg(built.expected_error().alias("expected_rate"), F.coalesce(F.sum("entries"), F.lit(0)).alias("stored"), (8 * F.sum("bytes") / F.sum("entries")).alias("bits_per_key"))
+    got = answered(requests, log, request_id, key, limit, position, remainder_bits).agg(F.count(F.lit(1)).alias("positives"), F.count_if(~F.col("seen")).alias("wrong"))
+    # three single rows are put side by side on a constant
+    one = lambda df: df.withColumn("__one", F.lit(1))
+    return (
+        one(asked).join(one(size), "__one").join(one(got), "__one").drop("__one")
+        .withColumn("measured_rate", F.when(F.col("requests") - F.col("positives") + F.col("wrong") > 0, F.col("wrong") / (F.col("requests") - F.col("positives") + F.col("wrong"))).otherwise(F.lit(0.0)))
+    )

@@ -61,9 +61,23 @@ def key_profile(compressed: DataFrame, keys: list[str], value: str, weight: str
     ).select(*keys, "n", "n_distinct", F.col("__m.v").alias("mode"), F.coalesce(-F.col("__m.w"), F.lit(0)).alias("mode_n"))
 
 
-def weighted_percentiles(compressed: DataFrame, keys: list[str], value: str, fractions: dict[str, float],
-                         bucket: Column | None = None, weight: str = "weight") -> DataFrame:
-    """Nearest-rank percentiles of a numeric value for each key out of its compressed frequencies.
+def nearest_rank(n: Column, p: float) -> Column:
+    """Rank (from 1) of a percentile: the least value that p of all values don't exceed."""
+    return F.greatest(F.ceil(n * F.lit(float(p))), F.lit(1))
+
+
+def scaled_rank(n: Column, p: float) -> Column:
+    """Rank of index floor(n p), the last one at most."""
+    return F.least(F.floor(n * F.lit(float(p))), n - 1) + 1
+
+
+def floor_rank(n: Column, p: float) -> Column:
+    """Rank of index floor((n - 1) p)."""
+    return F.floor((n - 1) * F.lit(float(p))) + 1
+
+
+def weighted_percentiles(compressed: DataFrame, keys: list[str], value: str, fractions: dict[str, float], bucket: Column | None = None, weight: str = "weight", rank=nearest_rank) -> DataFrame:
+    """Percentiles of a numeric value for each key out of its compressed frequencies, exact by ``rank``.
 
     ``bucket`` is a monotone function of the value (by default blocks of 1024). Running sums are formed
     within (key, bucket) and offset by the sums of the lower buckets, so no task gets all values of a key.
@@ -79,9 +93,24 @@ def weighted_percentiles(compressed: DataFrame, keys: list[str], value: str, fra
     joined = base.alias("l").join(blocks.alias("r"), on).select(*[F.col(f"l.{k}").alias(k) for k in keys], "l.__b", "__v", "__w", "__before", "__n")
     run = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = joined.withColumn("__upto", F.col("__before") + F.sum("__w").over(run))
-    return ranked.groupBy(*keys).agg(
-        *[F.min(F.when(F.col("__upto") >= F.greatest(F.ceil(F.col("__n") * F.lit(float(p))), F.lit(1)), F.col("__v"))).alias(name) for name, p in fractions.items()]
-    )
+    return ranked.groupBy(*keys).agg(*[F.min(F.when(F.col("__upto") >= rank(F.col("__n"), p), F.col("__v"))).alias(name) for name, p in fractions.items()])
+
+
+def blocked_lag(df: DataFrame, series: list[str], order: str, value: str, block: Column, out: str) -> DataFrame:
+    """The value of the row before in each series, without a task per series.
+
+    ``block`` is a monotone function of ``order`` (an hour, say). Rows are numbered within (series, block);
+    the first row of a block takes the last value of the nearest block before, found among one row per
+    block. ``order`` should be unique within a series; of equal ones the lesser value comes first.
+    """
+    cut = df.withColumn("__blk", block)
+    ends = cut.groupBy(*series, "__blk").agg(F.max(F.struct(order, value)).alias("__end"))
+    ends = ends.withColumn("__prev", F.lag("__end").over(Window.partitionBy(*series).orderBy("__blk"))).select(*series, "__blk", F.col(f"__prev.{value}").alias("__carry"))
+    on = reduce(lambda x, y: x & y, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in [*series, "__blk"]])
+    within = Window.partitionBy(*[F.col(f"l.{k}") for k in [*series, "__blk"]]).orderBy(f"l.{order}", f"l.{value}")
+    joined = cut.alias("l").join(ends.alias("r"), on)
+    first = F.row_number().over(within) == 1
+    return joined.select("l.*", F.when(first, F.col("r.__carry")).otherwise(F.lag(f"l.{value}").over(within)).alias(out)).drop("__blk")
 
 
 def distributed_rank(df: DataFrame, groups: list[str], order: list[Column], out: str, blocks: int = 64) -> DataFrame:

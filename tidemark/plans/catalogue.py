@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems
+from . import problems, store
 
-_MODULES = (problems,)
+_MODULES = (problems, store)
 
 
 def queries() -> dict:

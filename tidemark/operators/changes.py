@@ -47,8 +47,8 @@ class MergeTable:
     key and sorted by key within each bucket. Deletes stay in the run as tombstones. ``read`` merges the
     runs: all have the same buckets, so bucket i of every run is read by one task and merged there without
     a shuffle; the highest (ver, ts) wins and keys held by a tombstone are hidden. ``compact`` writes the
-    merge of all runs as one run and, being complete, drops tombstones. ``append`` compacts by itself once
-    ``max_runs`` runs exist.
+    merge of all runs as one run. Tombstones stay in it, since a change they outrank may still come late;
+    those older than a time given to ``compact`` go. ``append`` compacts by itself beyond ``max_runs`` runs.
 
     Runs become visible when the manifest that names them is written; a run whose write failed is never
     named, and repeating the append is safe since merging is idempotent. Order of appends doesn't matter.
@@ -136,10 +136,16 @@ class MergeTable:
         """Live keys with the change each holds: key, ver, ts and the carried columns."""
         return self.merged().filter(F.col("op") == PUT).drop("op")
 
-    def compact(self) -> None:
-        """One run instead of all; old runs are deleted after the new manifest holds."""
+    def compact(self, drop_before: int | None = None) -> None:
+        """One run instead of all; old runs are deleted after the new manifest holds.
+
+        Tombstones with a ts below ``drop_before`` are dropped: safe if no change that old can still come.
+        """
         old = self.runs
-        self._save([self._write(self.merged().filter(F.col("op") == PUT))])
+        rows = self.merged()
+        if drop_before is not None:
+            rows = rows.filter((F.col("op") == PUT) | (F.col("ts") >= drop_before))
+        self._save([self._write(rows)])
         for run in old:
             self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
             self._fs.delete(self._at(run), True)

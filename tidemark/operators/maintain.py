@@ -82,3 +82,9 @@ def tier_plan(runs: DataFrame, size: str = "bytes", threshold: int = 4) -> DataF
     """The smallest size tier with at least ``threshold`` runs: tier, n, bytes; nothing if none has."""
     tiers = runs.groupBy(size_tier(F.col(size)).alias("tier")).agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes"))
     return tiers.filter(F.col("n") >= threshold).orderBy("tier").limit(1)
+
+
+def drop_oldest(df: DataFrame, order: list, limit: int, share: int = 10) -> DataFrame:
+    """Overflow of a bounded store: with ``limit`` or more rows the oldest 1/share of them go, else none."""
+    ranked = global_rank(df, order, "__pos", "__n")
+    return ranked.filter((F.col("__n") < limit) | (F.col("__pos") >= F.floor(F.col("__n") / share))).drop("__pos", "__n")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import problems, store
+from . import placement, problems, store
 
-_MODULES = (problems, store)
+_MODULES = (problems, store, placement)
 
 
 def queries() -> dict:

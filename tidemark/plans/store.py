@@ -9,7 +9,7 @@ from ..functions import scalar
 from ..operators import folds, maintain, snapshot
 from ..operators.changes import MergeTable, changes
 from ..operators.skew import distributed_rank
-from ..session import scratch, table
+from ..session import scratch, stream_table, table
 from ..sources import store_files
 from ..streaming import state
 
@@ -227,7 +227,7 @@ def stream_latest(spark, d):
     """The log tailed as a stream of files into a merge table."""
     log = _wal(spark, d)
     merged = MergeTable(spark)
-    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(f"{d.rstrip('/')}/wal_record.parquet")
+    stream = stream_table(spark, d, "wal_record", log.schema, maxFilesPerTrigger=4)
     state.materialize(stream, merged).awaitTermination()
     return merged.read().select("key", "ver", "ts")
 
@@ -302,7 +302,7 @@ SELECT key, {CRC} AS crc, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {
     "ttl_expired": _with("SELECT key, expire_at FROM ttl WHERE op = 'add' AND expire_at < (SELECT max(ts_ms) FROM ops)", _TTL),
     "ttl_is_expired": _with("""SELECT k.key, coalesce(t.expire_at < (SELECT max(ts_ms) FROM ops), true) AS expired FROM (SELECT DISTINCT key FROM kv_request WHERE key <> '') k
   LEFT JOIN ttl t ON k.key = t.key AND t.op = 'add'""", _TTL),
-    "row_cache_stale": """SELECT CASE WHEN lsn > at THEN 'stale' ELSE 'kept' END AS state, count(*) AS n FROM (SELECT key, max(log_end) AS at FROM kv_request WHERE key <> '' GROUP BY key)
+    "row_cache_stale": """SELECT CASE WHEN lsn > asked THEN 'stale' ELSE 'kept' END AS state, count(*) AS n FROM (SELECT key, max(log_end) AS asked FROM kv_request WHERE key <> '' GROUP BY key)
   JOIN (SELECT key, max(lsn) AS lsn FROM wal_record WHERE key <> '' GROUP BY key) USING (key) GROUP BY 1""",
     "epoch_sequence": "SELECT attempt, 1 AS first, count(*) AS last, count(*) AS n FROM sync_run GROUP BY attempt",
     "log_json_lines": _with("SELECT op, count(*) AS n, max(ver) AS max_ver, CAST(sum(length(key)) AS BIGINT) AS chars FROM changes GROUP BY op"),

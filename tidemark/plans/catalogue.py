@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import placement, problems, store
+from . import metrics, placement, problems, store
 
-_MODULES = (problems, store, placement)
+_MODULES = (problems, store, placement, metrics)
 
 
 def queries() -> dict:

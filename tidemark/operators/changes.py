@@ -112,9 +112,10 @@ class MergeTable:
             schema = self.spark.read.parquet(f"{self.path}/{run}").schema
             columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
             self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
-        # The filter (keys are never null) makes the scan hand on rows: Spark 4.1 aligns the buckets of a union
-        # of row inputs, yet concatenates those of column batches while still trusting the bucketing.
-        return self.spark.table(name).filter(F.col("key").isNotNull())
+        # The filter (versions are never null) makes the scan hand on rows: Spark 4.1 aligns the buckets of a
+        # union of row inputs, yet concatenates those of column batches while still trusting the bucketing. It
+        # must not be on the key: a changed nullability of the bucketing column undoes the alignment.
+        return self.spark.table(name).filter(F.col("ver").isNotNull())
 
     def append(self, batch: DataFrame) -> str:
         run = self._write(newest(batch, "key", ["ver", "ts"], ["op", *self.carry]))

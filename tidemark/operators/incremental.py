@@ -81,14 +81,15 @@ class Feed:
         """Process what is new in ``log`` and commit; gives the commit (id, lower, upper, folder, rows).
 
         ``delivered`` are changes that an earlier system has handed on already. An empty log, or one
-        without new positions, commits nothing and gives the last commit, or a commit of nothing.
+        without new positions, commits nothing and gives a commit of no rows; rows without a position wait
+        for the next row that has one.
         """
         done = self.commits()
         lower = done[-1]["upper"] if done else None
         ranged = log if lower is None else log.filter((F.col(self.position) > lower) | F.col(self.position).isNull())
         upper = ranged.agg(F.max(self.position)).first()[0]
         if upper is None:
-            return done[-1] if done else {"id": 0, "lower": None, "upper": None, "folder": None, "rows": 0}
+            return {"id": len(done), "lower": lower, "upper": lower, "folder": None, "rows": 0}
         fresh = undelivered(ranged.filter((F.col(self.position) <= upper) | F.col(self.position).isNull()), delivered)
         before = self.output()
         if before is not None:

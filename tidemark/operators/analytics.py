@@ -31,10 +31,10 @@ def adaptive_timeout(samples: DataFrame, node: str, order: str, ms: str, window:
     The limit on the row number is applied before the shuffle too, so a node brings at most ``window``
     rows per task. Latencies count in whole milliseconds.
     """
-    recent = samples.select(node, order, F.floor(ms).alias("ms")).withColumn("rn", F.row_number().over(Window.partitionBy(node).orderBy(F.desc(order)))).filter(F.col("rn") <= window)
-    agg = recent.groupBy(node).agg(F.count("ms").alias("n"), F.array_sort(F.collect_list("ms")).alias("s"))  # window rows at most
-    p = F.get("s", (nearest_rank(F.col("n"), percentile) - 1).cast("int"))
-    return agg.select(node, F.when(F.col("n") < least, F.lit(default)).otherwise(F.least(F.greatest(F.floor(p * factor), F.lit(low)), F.lit(high))).cast("long").alias("timeout_ms"))
+    recent = samples.select(node, order, F.floor(ms).alias("__ms")).withColumn("__rn", F.row_number().over(Window.partitionBy(node).orderBy(F.desc(order)))).filter(F.col("__rn") <= window)
+    agg = recent.groupBy(node).agg(F.count("__ms").alias("__n"), F.array_sort(F.collect_list("__ms")).alias("__s"))  # window rows at most
+    p = F.get("__s", (nearest_rank(F.col("__n"), percentile) - 1).cast("int"))
+    return agg.select(node, F.when(F.col("__n") < least, F.lit(default)).otherwise(F.least(F.greatest(F.floor(p * factor), F.lit(low)), F.lit(high))).cast("long").alias("timeout_ms"))
 
 
 def phi_count(heartbeats: DataFrame, node: str, ts: str, now: Column, window: int = 1000, least: int = 10, threshold: float = 8.0) -> DataFrame:
@@ -43,11 +43,11 @@ def phi_count(heartbeats: DataFrame, node: str, ts: str, now: Column, window: in
     Only the last window + 1 heartbeats of a node are kept, also before the shuffle. Intervals and the
     elapsed time are in whole milliseconds.
     """
-    recent = heartbeats.filter(F.col(ts).isNotNull()).select(node, ts).withColumn("rn", F.row_number().over(Window.partitionBy(node).orderBy(F.desc(ts)))).filter(F.col("rn") <= window + 1)
+    recent = heartbeats.filter(F.col(ts).isNotNull()).select(node, ts).withColumn("__rn", F.row_number().over(Window.partitionBy(node).orderBy(F.desc(ts)))).filter(F.col("__rn") <= window + 1)
     ms = lambda a, b: F.floor((F.unix_micros(a) - F.unix_micros(b)) / 1000)
-    steps = recent.withColumn("iv", ms(F.col(ts), F.lag(ts).over(Window.partitionBy(node).orderBy(ts))))
-    agg = steps.groupBy(node).agg(F.count("iv").alias("n"), F.avg("iv").alias("mean"), F.max(ts).alias("last"))
-    phi = F.when((F.col("n") < least) | (F.coalesce("mean", F.lit(0.0)) <= 0), F.lit(0.0)).otherwise(ms(now, F.col("last")) / F.col("mean") / F.log(F.lit(10.0)))
+    steps = recent.withColumn("__iv", ms(F.col(ts), F.lag(ts).over(Window.partitionBy(node).orderBy(ts))))
+    agg = steps.groupBy(node).agg(F.count("__iv").alias("__n"), F.avg("__iv").alias("__mean"), F.max(ts).alias("__last"))
+    phi = F.when((F.col("__n") < least) | (F.coalesce("__mean", F.lit(0.0)) <= 0), F.lit(0.0)).otherwise(ms(now, F.col("__last")) / F.col("__mean") / F.log(F.lit(10.0)))
     return agg.select(node, phi.alias("phi")).withColumn("alive", F.col("phi") < threshold)
 
 
@@ -59,16 +59,16 @@ def phi_window(heartbeats: DataFrame, nodes: DataFrame, node: str, ts: str, now:
     needed: two aggregations per node.
     """
     micros = F.unix_micros(ts)
-    beats = heartbeats.filter(F.col(ts).isNotNull()).select(node, micros.alias("t"))
-    last = beats.groupBy(node).agg(F.max("t").alias("last"))
-    kept = beats.join(last, node).filter(F.col("t") >= F.col("last") - seconds * 1_000_000)
-    agg = kept.groupBy(node).agg(F.count(F.lit(1)).alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    mean = F.floor((F.col("last") - F.col("first")) / (F.col("n") - 1))
+    beats = heartbeats.filter(F.col(ts).isNotNull()).select(node, micros.alias("__t"))
+    last = beats.groupBy(node).agg(F.max("__t").alias("__last"))
+    kept = beats.join(last, node).filter(F.col("__t") >= F.col("__last") - seconds * 1_000_000)
+    agg = kept.groupBy(node).agg(F.count(F.lit(1)).alias("__n"), F.min("__t").alias("__first"), F.max("__t").alias("__last"))
+    mean = F.floor((F.col("__last") - F.col("__first")) / (F.col("__n") - 1))
     phi = (
-        F.when(F.col("n").isNull(), F.lit(threshold + 1))
-        .when(F.col("n") < least, F.lit(threshold + 0.5))
-        .when((F.col("n") < 2) | (F.col("last") <= F.col("first")), F.lit(0.0))
-        .otherwise((F.unix_micros(now) - F.col("last")) / mean / F.log(F.lit(10.0)))
+        F.when(F.col("__n").isNull(), F.lit(threshold + 1))
+        .when(F.col("__n") < least, F.lit(threshold + 0.5))
+        .when((F.col("__n") < 2) | (F.col("__last") <= F.col("__first")), F.lit(0.0))
+        .otherwise((F.unix_micros(now) - F.col("__last")) / mean / F.log(F.lit(10.0)))
     )
     return nodes.select(node).distinct().join(agg, node, "left").select(node, phi.alias("phi")).withColumn("alive", F.col("phi") < threshold)
 

@@ -115,7 +115,8 @@ def consistent_token(token: str) -> str:
     is not empty the token can be written in one script; the first preferred one of those is taken, so a
     mixed token is mended and a token whose letters all have the shapes of another script (whole-script
     confusable) is written like its double. If no script spells them all, a letter of several scripts
-    takes the script of the nearest letter that has only one, the left one first. All of this depends on
+    takes the one of the nearest letter that has a single script among them, looking left first. All of
+    this depends on
     shapes alone, so tokens that look the same get the same form.
     """
     of, spelled = _shapes()
@@ -133,7 +134,7 @@ def consistent_token(token: str) -> str:
         if p not in spelled or len(s) == 1:
             out.append(p)
             continue
-        near = next((scripts[j] for j in [*range(i - 1, -1, -1), *range(i + 1, len(protos))] if scripts[j] and len(scripts[j]) == 1), set())
+        near = next((scripts[j] for j in [*range(i - 1, -1, -1), *range(i + 1, len(protos))] if scripts[j] and len(scripts[j]) == 1 and scripts[j] <= s), set())
         out.append(spelled[p].get(next(iter(near), ""), p))
     return "".join(out)
 

@@ -116,8 +116,7 @@ def consistent_token(token: str) -> str:
     mixed token is mended and a token whose letters all have the shapes of another script (whole-script
     confusable) is written like its double. If no script spells them all, a letter of several scripts
     takes the one of the nearest letter that has a single script among them, looking left first. All of
-    this depends on
-    shapes alone, so tokens that look the same get the same form.
+    this depends on shapes alone, so tokens that look the same get the same form.
     """
     of, spelled = _shapes()
     protos = [of.get(c, c) for c in token]

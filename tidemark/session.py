@@ -54,3 +54,13 @@ def checkpoint(df: DataFrame, label: str = "cut") -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan over all cores where the scan itself has fewer parts than there are cores.
+
+    That is so only for inputs below cores times maxPartitionBytes, which bounds what is shuffled; larger
+    scans stay as they are. For row-wise work that is heavy on the CPU.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -25,8 +25,12 @@ PIECES = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{
 #: Coarser than PIECES: every boundary of a chunk is one of pieces, whatever stands around it.
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 _PIECE = regex.compile(PIECES)
+#: Behind a single line feed between visible characters a piece ends, and the feed is a piece of its own.
+_LINE = re.compile(rf"(?<=[^{SPACE}]\n)(?=[^{SPACE}])")
 _SPACES = frozenset(chr(i) for i in range(0x3001) if re.match(f"[{SPACE}]", chr(i)))
-_CACHED_PIECES, _CACHED_CHUNKS, _LONG = 200_000, 200_000, 64
+#: The same as PIECES for ASCII text, where the plain module is faster.
+_ASCII_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\t-\r A-Za-z0-9]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+")
+_CACHED, _LONG = 250_000, 64
 
 
 def _byte_of() -> dict[str, int]:
@@ -64,7 +68,8 @@ class Bpe:
         self.id_of = {b: i for i, b in self.bytes_of.items()}
         self.tokens = ahocorasick.Automaton()
         for i, b in self.bytes_of.items():
-            self.tokens.add_word(b.decode("latin-1"), (i, len(b)))
+            if self.is_whole(i):  # no other token is ever part of an encoding
+                self.tokens.add_word(b.decode("latin-1"), (i, len(b)))
         self.tokens.make_automaton()
         self.pieces = _Pieces(self)
         self.chunks = _Chunks(self)
@@ -129,17 +134,16 @@ class Bpe:
         back = max(0, start - self.longest)
         for end, (token, size) in self.tokens.iter(data[back:].decode("latin-1")):
             i = back + end + 1
-            if i <= start or table[i] >= 0:
+            if table[i] >= 0:
                 continue
-            j = i - size
-            if j == 0:
-                fits = self.is_whole(token)
-            else:
-                last = table[j]
-                known = follows.get(last << 20 | token)
-                fits = (may_follow(last, token) if known is None else known) and self.is_whole(token)
-            if fits:
-                table[i] = token
+            if i != size:
+                last = table[i - size]
+                fits = follows.get(last << 20 | token)
+                if fits is None:
+                    fits = may_follow(last, token)
+                if not fits:
+                    continue
+            table[i] = token
 
     @property
     def longest(self) -> int:
@@ -165,7 +169,15 @@ class Bpe:
 
     def encode_packed(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers in the machine's byte order."""
-        return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
+        if text.isascii():
+            return b"".join(map(self.pieces.__getitem__, _ASCII_PIECE.findall(text)))
+        parts: list[bytes] = []
+        for line in _LINE.split(text):
+            if line.isascii():
+                parts += map(self.pieces.__getitem__, _ASCII_PIECE.findall(line))
+            else:
+                parts += map(self.chunks.__getitem__, _CHUNK.findall(line))
+        return b"".join(parts)
 
     def encode(self, text: str) -> list[int]:
         ids = array("i")
@@ -173,30 +185,33 @@ class Bpe:
         return ids.tolist()
 
 
-class _Pieces(dict):
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+class _Recent(dict):
+    """Ids by text in two generations: when the young one is full it becomes the old one, which is dropped then."""
 
-    def __missing__(self, piece: str) -> bytes:
-        ids = array("i", self.bpe.encode_piece(piece.encode())).tobytes()
-        if len(piece) <= _LONG:
-            if len(self) >= _CACHED_PIECES:
+    def __init__(self, bpe: Bpe):
+        self.bpe, self.old = bpe, {}
+
+    def __missing__(self, text: str) -> bytes:
+        ids = self.old.get(text)
+        if ids is None:
+            ids = self.make(text)
+        if len(text) <= _LONG:
+            if len(self) >= _CACHED:
+                self.old = dict(self)
                 self.clear()
-            self[piece] = ids
+            self[text] = ids
         return ids
 
 
-class _Chunks(dict):
-    def __init__(self, bpe: Bpe):
-        self.bpe = bpe
+class _Pieces(_Recent):
+    def make(self, piece: str) -> bytes:
+        return array("i", self.bpe.encode_piece(piece.encode())).tobytes()
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = b"".join(map(self.bpe.pieces.__getitem__, _PIECE.findall(chunk)))
-        if len(chunk) <= _LONG:
-            if len(self) >= _CACHED_CHUNKS:
-                self.clear()
-            self[chunk] = ids
-        return ids
+
+class _Chunks(_Recent):
+    def make(self, chunk: str) -> bytes:
+        pattern = _ASCII_PIECE if chunk.isascii() else _PIECE
+        return b"".join(map(self.bpe.pieces.__getitem__, pattern.findall(chunk)))
 
 
 class Prefixes:

@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .bpe import from_bytes
 
 TOKENIZER = os.path.join(os.environ.get("TIDEMARK_TOKENIZERS", "/opt/tokenizers"), "byte_bpe_50k.json")
@@ -34,6 +35,6 @@ def token_ids(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_i
             ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(packed), np.int32)))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], ids], [*b.schema.names[:-1], out])
 
-    kept = df.select(*keep, F.col(text).alias("__text"))
+    kept = spread(df.select(*keep, F.col(text).alias("__text")))
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1]]
     return kept.mapInArrow(run, ", ".join([*fields, f"`{out}` array<int>"]))

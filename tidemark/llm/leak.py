@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import spread
 from .look import words
 
 SPAN = 13
@@ -151,6 +152,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     if span < max((p for m in masks for p in m), default=0) + 1:
         raise ValueError("a mask reaches beyond the window")
     corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text") != "")
+    corpus = spread(corpus)
     spark = docs.sparkSession
     found = None
     for block in _blocks(items, item_id, text, block_chars):

@@ -8,9 +8,10 @@ and the number of spaces stay as they are, as do any two unequal ASCII character
 
 from __future__ import annotations
 
-import sys
+import re
 import unicodedata
 from functools import cache
+from itertools import chain
 
 import regex
 
@@ -61,9 +62,8 @@ def _plain(c: str) -> str | None:
 @cache
 def _simple() -> dict[int, str]:
     table = {}
-    for i in range(0x80, sys.maxunicode + 1):
-        if 0xD800 <= i < 0xE000 or 0xE000 <= i < 0xF900 or 0x3400 <= i < 0x9FFF or 0xAC00 <= i < 0xD7A4:
-            continue  # surrogates, private use, plain Han and Hangul: nothing to replace
+    # planes and blocks without anything to replace (Han, Hangul, private use) are left out
+    for i in chain(range(0x80, 0x3400), range(0xA000, 0xAC00), range(0xF900, 0x20000), range(0xE0000, 0xE1000)):
         into = _plain(chr(i))
         if into is not None:
             table[i] = into
@@ -141,16 +141,42 @@ def consistent_token(token: str) -> str:
 _forms = _Forms()
 
 
-def same_look(text: str) -> str:
-    """The consistent form of a text; texts that look the same have the same form, and only those."""
-    if text.isascii():
-        return text
+def _form(text: str) -> str:
     text = unicodedata.normalize("NFD", text.translate(_simple()))
     if not text.isascii():
         text = _TOKEN.sub(lambda m: t if (t := m.group()).isascii() else _forms[t], text)
     return unicodedata.normalize("NFC", text)
 
 
+class _Recalled(dict):
+    """Results of a function of short texts; emptied when there are many."""
+
+    def __init__(self, make):
+        self.make = make
+
+    def __missing__(self, text: str):
+        made = self.make(text)
+        if len(text) <= 64:
+            if len(self) > 100_000:
+                self.clear()
+            self[text] = made
+        return made
+
+
+_parts = _Recalled(_form)
+
+
+def same_look(text: str) -> str:
+    """The consistent form of a text; texts that look the same have the same form, and only those.
+
+    Blanks and line feeds bound everything that is composed or spelled together, so the parts between
+    them are brought to their form one by one, ASCII lines and words being it already.
+    """
+    if text.isascii():
+        return text
+    return "\n".join(line if line.isascii() else " ".join([w if w.isascii() else _parts[w] for w in line.split(" ")]) for line in text.split("\n"))
+
+
 @cache
 def _folds() -> tuple[dict[int, str], dict[int, str]]:
     """For words: letters to their shapes; then small letters to those their capitals look like."""
@@ -169,14 +195,35 @@ _WORD = regex.compile(r"[\p{L}\p{M}\p{Nd}]+")
 _ASCII_WORD = regex.compile(r"[a-z0-9]+")
 
 
+_RUN = re.compile("[A-Za-z0-9\\x80-\U0010ffff]+")
+
+
+def _run_words(run: str) -> list[str]:
+    first, later = _folds()
+    run = unicodedata.normalize("NFD", run.translate(_simple()))
+    return _WORD.findall(unicodedata.normalize("NFD", run.translate(first).casefold()).translate(later))
+
+
+_runs = _Recalled(_run_words)
+
+
 def words(text: str) -> list[str]:
     """Runs of letters (with accents) and digits, compared by look and without letter case.
 
     Cyrillic letters whose capitals have a Latin shape are folded with them in both cases, so that a word
-    equals itself in capitals; characters without width vanish first, all else separates.
+    equals itself in capitals; characters without width vanish first, all else separates. ASCII characters
+    other than letters and digits always separate, so runs between them are folded one by one.
     """
     if text.isascii():
         return _ASCII_WORD.findall(text.lower())
-    first, later = _folds()
-    text = unicodedata.normalize("NFD", text.translate(_simple()))
-    return _WORD.findall(unicodedata.normalize("NFD", text.translate(first).casefold()).translate(later))
+    out: list[str] = []
+    for line in text.split("\n"):
+        if line.isascii():
+            out += _ASCII_WORD.findall(line.lower())
+            continue
+        for run in _RUN.findall(line):
+            if run.isascii():
+                out.append(run.lower())
+            else:
+                out += _runs[run]
+    return out

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import checkpoint
+from ..session import checkpoint, spread
 from .look import same_look
 
 
@@ -32,7 +32,8 @@ def fingerprints(df: DataFrame, doc_id: str, text: str) -> DataFrame:
                 look.append(own[-1] if t.isascii() else xxhash.xxh3_128_digest(same_look(t).encode()))
             yield pa.RecordBatch.from_arrays([ids, pa.array(look, pa.binary()), pa.array(own, pa.binary())], ["id", "look", "own"])
 
-    return df.filter(F.col(text) != "").select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, "id long, look binary, own binary")
+    rows = df.filter(F.col(text) != "").select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+    return spread(rows).mapInArrow(run, "id long, look binary, own binary")
 
 
 def lookalike_pairs(df: DataFrame, doc_id: str = "doc_id", text: str = "text", block: int = 1000) -> DataFrame:

@@ -10,9 +10,9 @@ from tidemark.llm.look import SAME_SHAPE, consistent_token, same_look, words
 SAME = [
     ("ＡＢＣ１２３（x）", "ABC123(x)"), ("ﾊﾞｸﾞ", "バグ"), ("été", "été"), ("ﬁle ﬂow oﬃce", "file flow office"), ("co­op​ ﻿x‍y⁠", "coop xy"),
     ("a b c　d", "a b c d"), ("рaypаl", "paypal"), ("сор", "cop"), ("СОР", "COP"), ("Kelvin", "Kelvin"), ("\U0001d41aℂ", "aC"), ("ɡɑp", "gap"), ("пpивeт", "привет"),
-    ("Ноmе", "Home"), ("ν1", "v1"), ("օk", "ok"), ("Ⅻ", "XII"), ("ë", "ё"), ("へ", "ヘ"), ("й", "й"), ("x️", "x"),
+    ("Ноmе", "Home"), ("ν1", "v1"), ("օk", "ok"), ("Ⅻ", "XII"), ("ë", "ё"), ("へ", "ヘ"), ("й", "й"), ("x️", "x"), ("\u00b5s", "\u03bcs"), ("\u2f00", "\u4e00"),
 ]
-DIFFERENT = [("a", "A"), ("e", "é"), ("a b", "a  b"), ("a\tb", "a b"), ("a\r\nb", "a\nb"), ("l", "1"), ("O", "0"), ("rn", "m"), ("a.", "a"), ("…", "..."), ("™", "TM"), ("x²", "x2"), ("½", "1⁄2"), ("к", "k"), ("н", "h"), ("а\nb", "а b"), ("a\x1b", "a"), ("’", "'"), ("–", "-"), ("m", "ｎ")]
+DIFFERENT = [("a", "A"), ("e", "é"), ("a b", "a  b"), ("a\tb", "a b"), ("a\r\nb", "a\nb"), ("l", "1"), ("O", "0"), ("rn", "m"), ("a.", "a"), ("…", "..."), ("™", "TM"), ("x²", "x2"), ("½", "1⁄2"), ("к", "k"), ("н", "h"), ("а\nb", "а b"), ("a\x1b", "a"), ("’", "'"), ("–", "-"), ("m", "ｎ"), ("\u017f", "s"), ("\u03d1", "\u03b8"), ("\u24d0", "a")]
 
 
 @pytest.mark.parametrize("a,b", SAME)

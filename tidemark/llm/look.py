@@ -32,6 +32,8 @@ PREFERRED = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Hiragana", "
 _DRAWN_FORMATS = regex.compile(r"\p{Prepended_Concatenation_Mark}")
 _NO_WIDTH = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]")
 _FILLERS = "\u115f\u1160\u3164\uffa0"  # ignorable by default, yet as wide as a letter
+# Letter symbols of the shape of their letter: micro sign, Hebrew symbols, radicals, single jamo.
+_SYMBOLS = ((0xB5, 0xB5), (0x2135, 0x2138), (0x2E80, 0x2FD5), (0x3131, 0x318E))
 _TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in PREFERRED}
 _COMMON = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
@@ -53,9 +55,11 @@ def _plain(c: str) -> str | None:
     if tag in ("<wide", "<narrow", "<font"):
         return into
     if tag == "<compat" and kind[0] in "LN" and kind not in ("Nd", "No"):
-        # joined letters; letters that number (roman numerals); single letters otherwise have a shape of their own
+        # joined letters; letters that number (roman numerals); other single letters mostly have a shape of their own
         if kind == "Nl" or len(into) > 1 and all(unicodedata.category(x)[0] in "LM" for x in into):
             return into
+    if tag == "<compat" and any(a <= ord(c) <= b for a, b in _SYMBOLS):
+        return into
     return None
 
 

@@ -137,8 +137,8 @@ def alert_hold(points: DataFrame, series: list[str], t: str, condition: Column,
     """
     marked = points.select(*series, t, F.when(condition, F.lit(0)).otherwise(F.lit(1)).alias("__bad"))
     rolled = rolling_sum(marked, series, t, ["__bad"], hold + 1)
-    start = points.groupBy(*series).agg(F.min(t).alias("__first")) if series else points.agg(F.min(t).alias("__first")).withColumn("__one", F.lit(1))
-    joined = rolled.join(start, series) if series else rolled.withColumn("__one", F.lit(1)).join(start, "__one")
+    firsts = F.min(t).alias("__first")
+    joined = rolled.join(points.groupBy(*series).agg(firsts), series) if series else rolled.withColumn("__first", points.agg(firsts).scalar())
     return joined.select(*series, t, ((F.col("__bad_sum") == 0) & (F.col(t) - F.col("__first") >= hold)).alias("firing"))
 
 

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,18 +15,6 @@ LEAF_KEYS, BUCKETS = 4, 1024
 EMPTY_ROOT = hashlib.sha256().hexdigest()
 
 
-def _bounds(n: int, depth: int = 0, lo: int = 0) -> list[tuple[int, int, int]]:
-    """(depth, lo, hi) of each node over n sorted keys: halves until at most four keys are left."""
-    out, todo = [], [(depth, lo, n)]
-    while todo:
-        d, a, b = todo.pop()
-        out.append((d, a, b))
-        if b - a > LEAF_KEYS:
-            mid = a + (b - a) // 2
-            todo += [(d + 1, a, mid), (d + 1, mid, b)]
-    return out
-
-
 def leaf_size_steps(n: Column) -> Column:
     """Number of halvings until every part has at most four keys: depth of the deepest leaf."""
     return F.greatest(F.ceil(F.log2(F.greatest(n, F.lit(1)) / LEAF_KEYS)), F.lit(0)).cast("int")
@@ -105,15 +95,29 @@ def bucket_roots(keys: DataFrame, key: str = "key") -> DataFrame:
     """Bucketed tree over distinct keys: one hash per bucket, folded over the keys of the bucket in order.
 
     The bucket is the sum of the bytes of the key's SHA-256, each times its place, modulo 1024. The fold
-    is sequential by definition, so a bucket (a thousandth of all keys) is folded by one task.
+    is a chain of hashes and so sequential by definition: it streams through partitions sorted by
+    (bucket, key) with one hash in memory, whatever the size of a bucket.
     """
     digest = F.sha2(F.col(key).cast("binary"), 256)
     numbers = F.transform(F.sequence(F.lit(1), F.lit(32)), lambda i: F.conv(F.substr(digest, i * 2 - 1, F.lit(2)), 16, 10).cast("long") * i)
     bucket = F.aggregate(numbers, F.lit(0).cast("long"), lambda s, x: s + x) % BUCKETS
-    rows = keys.select(F.col(key).alias("key")).distinct().select("key", digest.alias("d"), bucket.alias("bucket"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("key", "d"))), lambda x: x["d"])
-    fold = F.aggregate(F.slice("ds", F.lit(2), F.greatest(F.size("ds") - 1, F.lit(0))), F.col("ds")[0], lambda a, x: F.sha2(F.unhex(F.concat(a, x)), 256))
-    return rows.groupBy("bucket").agg(ordered.alias("ds")).select("bucket", fold.alias("hash"))
+    rows = keys.select(F.col(key).alias("key")).distinct().select("key", F.unhex(digest).alias("d"), bucket.alias("bucket"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chain, done = None, b"", []
+        for b in batches:
+            for n, d in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if n == at:
+                    chain = hashlib.sha256(chain + d).digest()
+                else:
+                    done += [] if at is None else [(at, chain.hex())]
+                    at, chain = n, d
+        done += [] if at is None else [(at, chain.hex())]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in done], pa.int64()), pa.array([x for _, x in done])], ["bucket", "hash"])
+
+    ordered = rows.repartition("bucket").sortWithinPartitions("bucket", "key").select("bucket", "d")
+    return ordered.mapInArrow(fold, "bucket long, hash string")
 
 
 def bucket_root(spark: SparkSession, buckets: DataFrame) -> DataFrame:

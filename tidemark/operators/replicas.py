@@ -35,8 +35,8 @@ def ack_check(acks: DataFrame, need: int) -> DataFrame:
     """Per key: acks, whether the quorum is met, and whether it is met for all keys. acks: key, node, ok."""
     per_key = acks.groupBy("key").agg(F.count_if(F.col("ok")).alias("acks"))
     met = F.col("acks") >= need
-    whole = per_key.agg(F.coalesce(F.bool_and(met), F.lit(True)).alias("all_met"))  # one row
-    return per_key.join(F.broadcast(whole)).select("key", "acks", met.alias("met"), "all_met")
+    whole = per_key.agg(F.coalesce(F.bool_and(met), F.lit(True))).scalar()
+    return per_key.select("key", "acks", met.alias("met"), whole.alias("all_met"))
 
 
 def majority_repair(entries: DataFrame, value: Column) -> DataFrame:

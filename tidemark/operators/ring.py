@@ -6,7 +6,7 @@ import bisect
 import zlib
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import ring_hash
@@ -99,8 +99,8 @@ def owner(df: DataFrame, key: str, ring: Ring, out: str = "node") -> DataFrame:
 def shares(df: DataFrame, key: str, ring: Ring) -> DataFrame:
     """Keys per node and their percentage. Nodes without keys have no row."""
     counts = owner(df, key, ring).groupBy("node").agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("__t"))  # one row
-    return counts.join(F.broadcast(total)).select("node", "n", (F.col("n") * 100.0 / F.col("__t")).alias("percent"))
+    total = F.sum("n").over(Window.partitionBy())  # over a row per node
+    return counts.select("node", "n", (F.col("n") * 100.0 / total).alias("percent"))
 
 
 def movement(df: DataFrame, key: str, before: Ring, after: Ring) -> DataFrame:

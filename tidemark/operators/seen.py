@@ -151,9 +151,7 @@ def error_report(requests: DataFrame, log: DataFrame, request_id: str, key: str,
     built, _ = filter_of_log(log, key, position, remainder_bits)
     size = built.shards.agg(built.expected_error().alias("expected_rate"), F.coalesce(F.sum("entries"), F.lit(0)).alias("stored"), (8 * F.sum("bytes") / F.sum("entries")).alias("bits_per_key"))
     got = answered(requests, log, request_id, key, limit, position, remainder_bits).agg(F.count(F.lit(1)).alias("positives"), F.count_if(~F.col("seen")).alias("wrong"))
-    # three single rows are put side by side on a constant
-    one = lambda df: df.withColumn("__one", F.lit(1))
-    return (
-        one(asked).join(one(size), "__one").join(one(got), "__one").drop("__one")
-        .withColumn("measured_rate", F.when(F.col("requests") - F.col("positives") + F.col("wrong") > 0, F.col("wrong") / (F.col("requests") - F.col("positives") + F.col("wrong"))).otherwise(F.lit(0.0)))
-    )
+    row = lambda df: df.select(F.struct("*")).scalar()
+    whole = asked.select("requests", row(size).alias("s"), row(got).alias("g")).select("requests", "s.*", "g.*")
+    unseen = F.col("requests") - F.col("positives") + F.col("wrong")
+    return whole.withColumn("measured_rate", F.when(unseen > 0, F.col("wrong") / unseen).otherwise(F.lit(0.0)))

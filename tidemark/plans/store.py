@@ -165,9 +165,8 @@ def scalar_hosts(spark, d):
 
 
 def quorum_validate(spark, d):
-    one = lambda n: spark.range(0, 5).withColumnRenamed("id", n).withColumn("k", F.lit(1))
-    grid = one("n").join(one("w"), "k").join(one("r"), "k").drop("k")
-    return grid.select("n", "w", "r", scalar.quorum_status(F.col("n"), F.col("w"), F.col("r")).alias("status"))
+    n, w, r = F.floor(F.col("id") / 25), F.floor(F.col("id") / 5) % 5, F.col("id") % 5
+    return spark.range(125).select(n.alias("n"), w.alias("w"), r.alias("r"), scalar.quorum_status(n, w, r).alias("status"))
 
 
 def _ttl_ops(spark, d):

@@ -45,6 +45,15 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{int(time.time())}-{os.getpid()}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
 
 
+def release(spark: SparkSession) -> None:
+    """Delete what operators have written to the shared folder; for when all results have been consumed.
+
+    Tables and feeds that were given no path of their own lie there too.
+    """
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def checkpoint(df: DataFrame, label: str = "cut") -> DataFrame:
     """Cut the lineage through a table written to the shared folder; survives the loss of executors."""
     path = scratch(df.sparkSession, label)

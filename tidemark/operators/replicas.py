@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vclock
+from ..session import checkpoint
 from .skew import compress
 
 
@@ -86,7 +87,7 @@ def siblings(rows: DataFrame, clock: str = "vc") -> DataFrame:
     whatever one of these few dominates is dropped. Only what is left is compared in pairs of one key.
     """
     base = rows.filter(F.col("key").isNotNull()).select("key", vclock.text(F.col(clock)).alias("t"), F.coalesce(F.col(clock), F.expr("cast(map() as map<string,bigint>)")).alias("c"))
-    clocks = base.groupBy("key", "t").agg(F.first("c").alias("c"))  # equal text, equal clock
+    clocks = checkpoint(base.groupBy("key", "t").agg(F.first("c").alias("c")), "clocks")  # equal text, equal clock
     tops = (
         clocks.select("key", "t", "c", F.explode_outer(F.map_keys("c")).alias("n"))
         .groupBy("key", "n").agg(F.max(F.struct(F.element_at("c", F.col("n")).alias("x"), F.aggregate(F.map_values("c"), F.lit(0).cast("long"), lambda s, v: s + v).alias("s"), "t")).alias("top"))
@@ -95,6 +96,7 @@ def siblings(rows: DataFrame, clock: str = "vc") -> DataFrame:
     parse = lambda t: F.transform_values(F.str_to_map(t, F.lit(","), F.lit("=")), lambda k, v: v.cast("bigint"))
     safe = lambda t: F.when(t == "", F.expr("cast(map() as map<string,bigint>)")).otherwise(parse(t))
     left = clocks.join(tops, "key").filter(~F.exists("tops", lambda t: vclock.compare(F.col("c"), safe(t)) == vclock.BEFORE)).select("key", "t", "c")
+    left = checkpoint(left, "maximal")
     other = left.select(F.col("key").alias("k2"), F.col("c").alias("c2"))
     beaten = (F.col("key") == F.col("k2")) & (vclock.compare(F.col("c"), F.col("c2")) == vclock.BEFORE)
     return left.join(other, beaten, "left_anti").select("key", F.col("t").alias("clock"))

@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 
 def compress(df: DataFrame, keys: list[str], value: str, weight: str = "weight") -> DataFrame:
     """Value-frequency compression: one row per distinct (keys, value) with its number of records.
@@ -35,12 +37,12 @@ def heavy_keys(compressed: DataFrame, scope: str, key: str, percent: int, n_scop
     each, which is why they may be broadcast. Records with a null or empty key count in the total and are
     never keys themselves. At most 100/percent keys come out for a scope.
     """
-    totals = compressed.groupBy(scope).agg(F.sum(weight).alias("__total"))
+    counts = checkpoint(key_counts(compressed, [scope, key], weight, "n"), "counts")  # a row per key, read twice
+    totals = counts.groupBy(scope).agg(F.sum("n").alias("__total"))
     if n_scopes <= 1000:
         totals = F.broadcast(totals)
-    counted = key_counts(compressed.filter(F.col(key) != ""), [scope, key], weight, "n")
     return (
-        counted.join(totals, scope)
+        counts.filter(F.col(key) != "").join(totals, scope)
         .filter(F.col("n") * 100 >= F.col("__total") * percent)
         .select(scope, key, "n")
     )

@@ -51,7 +51,7 @@ def test_run_files(spark, tmp_path):
 
 def test_json_and_metrics(spark):
     live = spark.createDataFrame([(f"k{i:03}", f"v\"{i}") for i in range(100)], "key string, value string")
-    texts = store_files.export_json(live, 8)
+    texts = store_files.export_json(live, 13)
     back = store_files.import_json(texts, "json")
     assert texts.count() == 8 and back.select("key", "value").exceptAll(live).count() == 0 and back.count() == 100
     bad = store_files.import_json(spark.createDataFrame([('{"":"x","k":null}',), ("[]",), (None,)], "value string"))

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import checkpoint
+
 # Offset basis and prime of FNV-1a, 64 bits; multiplier of the second hash.
 _BASIS, _PRIME, _MIX = 14695981039346656037, 1099511628211, 0xBF58476D1CE4E5B9
 _MASK = (1 << 64) - 1
@@ -44,7 +46,7 @@ def build_shards(keys: DataFrame, key: str, shard_keys: int = 1_000_000, p: floa
     Two independent 64-bit hashes are taken on the JVM side; the shard is chosen by a third. Distinct keys
     are formed first, so repeated keys don't weigh on a shard. Null keys are left out.
     """
-    distinct = keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct()
+    distinct = checkpoint(keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct(), "keys")
     n = distinct.count()
     shards = max(1, math.ceil(n / shard_keys))
     m, hashes = bloom_size(math.ceil(n / shards * 1.02) + 1, p)

@@ -90,12 +90,15 @@ class Feed:
         upper = ranged.agg(F.max(self.position)).first()[0]
         if upper is None:
             return {"id": len(done), "lower": lower, "upper": lower, "folder": None, "rows": 0}
-        fresh = undelivered(ranged.filter((F.col(self.position) <= upper) | F.col(self.position).isNull()), delivered)
-        before = self.output()
+        inside = ranged.filter((F.col(self.position) <= upper) | F.col(self.position).isNull())
+        fresh, before = undelivered(inside, delivered), self.output()
         if before is not None:
-            fresh = fresh.join(before, ["key", "ver", "ts"], "left_anti")
+            # only output of the same versions can repeat here; files are sorted by version, so most is never read
+            low, high = changes(inside).agg(F.min("ver"), F.max("ver")).first()
+            if low is not None:
+                fresh = fresh.join(before.filter(F.col("ver").between(low, high)), ["key", "ver", "ts"], "left_anti")
         folder = "out-" + scratch(self.spark, "attempt").rsplit("/", 1)[-1]
-        fresh.write.parquet(f"{self.path}/{folder}")
+        fresh.sortWithinPartitions("ver").write.parquet(f"{self.path}/{folder}")
         rows = self.spark.read.parquet(f"{self.path}/{folder}").count()
         commit = {"id": len(done) + 1, "lower": lower, "upper": upper, "folder": folder, "rows": rows}
         self._commit(commit)

@@ -14,7 +14,7 @@ from ..sources import store_files
 from ..streaming import state
 
 PREFIX, KEY, SINCE, PATTERN = "profile:", "cfg/routing", 100_000_010_000, "tenant/?/*"
-RUN_ROWS, BATCH = 500, 1000
+RUN_ROWS, BATCH, EXPORT_ROWS = 500, 1000, 200
 
 
 def _wal(spark: SparkSession, d: str) -> DataFrame:
@@ -207,11 +207,11 @@ def log_json_lines(spark, d):
 
 
 def json_export(spark, d):
-    return store_files.export_json(snapshot.live(_wal(spark, d)).filter(F.col("value").isNotNull()), 16)
+    return store_files.export_json(snapshot.live(_wal(spark, d)).filter(F.col("value").isNotNull()), EXPORT_ROWS)
 
 
 def json_import(spark, d):
-    texts = store_files.export_json(snapshot.live(_wal(spark, d)).filter(F.col("value").isNotNull()), 16)
+    texts = store_files.export_json(snapshot.live(_wal(spark, d)).filter(F.col("value").isNotNull()), EXPORT_ROWS)
     return store_files.import_json(texts, "json").select("key", "value", "ok")
 
 
@@ -305,8 +305,8 @@ SELECT key, {CRC} AS crc, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {
   JOIN (SELECT key, max(lsn) AS lsn FROM wal_record WHERE key <> '' GROUP BY key) USING (key) GROUP BY 1""",
     "epoch_sequence": "SELECT attempt, 1 AS first, count(*) AS last, count(*) AS n FROM sync_run GROUP BY attempt",
     "log_json_lines": _with("SELECT op, count(*) AS n, max(ver) AS max_ver, CAST(sum(length(key)) AS BIGINT) AS chars FROM changes GROUP BY op"),
-    "json_export": _with("""SELECT block, '{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}' AS json FROM (
-  SELECT key, value, (row_number() OVER (ORDER BY key) - 1) * 16 // count(*) OVER () AS block FROM live WHERE value IS NOT NULL) GROUP BY block"""),
+    "json_export": _with(f"""SELECT block, '{{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}}' AS json FROM (
+  SELECT key, value, (row_number() OVER (ORDER BY key) - 1) // {EXPORT_ROWS} AS block FROM live WHERE value IS NOT NULL) GROUP BY block"""),
     "json_import": _with("SELECT key, value, true AS ok FROM live WHERE value IS NOT NULL"),
     "parquet_run": _with(f"SELECT key, ver FROM live WHERE starts_with(key, '{PREFIX}')"),
     "stream_latest": _with("SELECT key, ver, ts FROM live"),

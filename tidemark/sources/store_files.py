@@ -189,18 +189,16 @@ def import_json(df: DataFrame, text: str = "value") -> DataFrame:
     return pairs.withColumn("ok", (F.col("key") != "") & F.col("value").isNotNull())
 
 
-def export_json(live: DataFrame, blocks: int = 256) -> DataFrame:
-    """Visible rows as JSON objects, one per block of keys in key order, to be written as lines.
+def export_json(live: DataFrame, rows: int = 10_000) -> DataFrame:
+    """Visible rows as JSON objects of ``rows`` keys each in key order (``block``), to be written as lines.
 
-    One object of all rows would be one value of one task; the blocks are key ranges of equal size, and
-    their objects follow each other in key order (``block``).
+    One object of all rows would be a single value; the objects follow each other in key order.
     """
     from ..operators.snapshot import global_rank
 
-    ranked = global_rank(live.select("key", "value"), [F.col("key")], "pos", "n")
-    block = F.floor(F.col("pos") * blocks / F.col("n"))
+    ranked = global_rank(live.select("key", "value"), [F.col("key")], "pos")
     pairs = F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value"))))
-    return ranked.groupBy(block.alias("block")).agg(F.to_json(pairs).alias("json"))
+    return ranked.groupBy(F.floor(F.col("pos") / rows).alias("block")).agg(F.to_json(pairs).alias("json"))
 
 
 def parse_metrics(df: DataFrame, line: str = "value") -> DataFrame:

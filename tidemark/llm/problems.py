@@ -30,6 +30,14 @@ def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
     return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p7_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every evaluation item with the number of documents that hold 13 of its words in a row, and the longest run."""
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter(F.col("run_words") >= SPAN)
+    per_item = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("run_words").alias("longest"))
+    items = table(spark, d, "eval_items").select("item_id", "task", "split")
+    return items.join(per_item, "item_id", "left").select("item_id", "task", "split", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("longest", F.lit(0)).alias("longest"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike_pairs(table(spark, d, "documents"))
 
@@ -40,5 +48,5 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "form", (~F.col("form").eqNullSafe(F.col("text"))).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p6_ids, p6_totals, p7_found, p7_overlaps, p8_found, p8_forms)}
+QUERIES = {f.__name__: f for f in (p6_ids, p6_totals, p7_found, p7_overlaps, p7_items, p8_found, p8_forms)}
 SQL: dict[str, str] = {}

@@ -5,7 +5,7 @@ import zstandard
 from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
-from tidemark.functions.scalar import format_bytes, glob_to_like, host_of, quorum_status, shell_words, truncate_text
+from tidemark.functions.scalar import format_bytes, glob_to_like, host_of, key_of_path, quorum_status, shell_words, truncate_text
 from tidemark.operators import snapshot
 from tidemark.operators.changes import MergeTable
 from tidemark.operators.ring import Ring, fan_out, place
@@ -91,6 +91,7 @@ def test_small_functions(spark):
     assert [show(truncate_text(F.lit("abcdef"), n)) for n in (2, 5, 6)] == ["", "ab...", "abcdef"]
     assert [show(host_of(F.lit(a))) for a in ("http://h.x:80/p", "h:1", "[::1]:5")] == ["h.x", "h", "[::1]"]
     assert [show(quorum_status(*map(F.lit, q))) for q in ((3, 2, 2), (3, 1, 1), (3, 4, 1))] == ["ok", "no_overlap", "invalid_quorum"]
+    assert [show(key_of_path(F.lit(x), "/api/v1/get/")) for x in ("/api/v1/get/a%2Fb", "/other", "/api/v1/get/")] == ["a/b", "", ""]
     assert glob_to_like("a*?_%\\") == "a%_\\_\\%\\\\"
     assert shell_words("put 'a b' \"c'd\" e\\ f ''") == ["put", "a b", "c'd", "e f", ""]
 

@@ -28,6 +28,13 @@ def test_ttl(spark):
     assert {tuple(r) for r in asked.collect()} == {("a", False), ("b", True), ("c", True), ("x", True)}
 
 
+def test_hints_to_send_again(spark):
+    hints = spark.createDataFrame([("a", "n", 0, 5), ("b", "n", 10, 5), ("c", "n", 0, 5), ("d", "n", 0, 1), ("a", "m", 9, 5)], "key string, target string, attempts int, created_at int")
+    done = spark.createDataFrame([("c", "n"), ("c", "n"), (None, "n")], "key string, target string")
+    assert {(r["key"], r["target"]) for r in folds.undelivered_hints(hints, done).collect()} == {("a", "n"), ("d", "n"), ("a", "m")}
+    assert {r["key"] for r in folds.undelivered_hints(hints, done, oldest=F.lit(2)).collect()} == {"a"}
+
+
 def test_adaptive_timeout(spark):
     rows = [("n", i, 100.0) for i in range(10)] + [("few", 1, 9.0), ("slow", 1, 9e4), ("slow", 2, 9e4), ("slow", 3, 9e4)] + [("quick", i, 1.0) for i in range(5)]
     got = dict(map(tuple, analytics.adaptive_timeout(spark.createDataFrame(rows, "n string, i long, ms double"), "n", "i", "ms").collect()))

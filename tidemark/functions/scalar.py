@@ -120,6 +120,11 @@ def host_of(address: Column) -> Column:
     return F.regexp_extract(address, r"^(?:[a-z]+://)?(\[[^\]]*\]|[^:/]*)", 1)
 
 
+def key_of_path(path: Column, prefix: str) -> Column:
+    """What follows ``prefix`` in a URL path, percent signs decoded; empty if the path doesn't start with it."""
+    return F.when(path.startswith(prefix), F.url_decode(F.substring(path, len(prefix) + 1, 1 << 20))).otherwise(F.lit(""))
+
+
 def shell_words(line: str) -> list[str]:
     """Words of a command line: quotes group, a backslash outside quotes takes the next character as it is."""
     words, word, quote, started, literal = [], "", "", False, False

@@ -114,6 +114,10 @@ def is_expired(ops: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     return keys.select("key").distinct().join(ttl_state(ops), "key", "left").select("key", F.coalesce(F.col("expire_at") < now, F.lit(True)).alias("expired"))
 
 
-def undelivered_hints(hints: DataFrame, delivered: DataFrame, max_attempts: int = 10) -> DataFrame:
-    """Hints to send again: not delivered (by key and target) and tried fewer than ``max_attempts`` times."""
-    return hints.join(delivered.select("key", "target").distinct(), ["key", "target"], "left_anti").filter(F.col("attempts") < max_attempts)
+def undelivered_hints(hints: DataFrame, delivered: DataFrame, max_attempts: int = 10, oldest: Column | None = None) -> DataFrame:
+    """Hints to send again: not delivered (by key and target) and tried fewer than ``max_attempts`` times.
+
+    With ``oldest`` hints created before it (``created_at``) have expired.
+    """
+    left = hints.join(delivered.select("key", "target").distinct(), ["key", "target"], "left_anti").filter(F.col("attempts") < max_attempts)
+    return left if oldest is None else left.filter(F.col("created_at") >= oldest)

@@ -50,7 +50,7 @@ def p2_profile(spark: SparkSession, d: str) -> DataFrame:
 
 def p2_lengths(spark: SparkSession, d: str) -> DataFrame:
     """Median and 95th percentile of the value's length for each key of the write requests."""
-    writes = table(spark, d, "replica_write").select("key", F.octet_length("value").alias("bytes"))
+    writes = table(spark, d, "replica_write").select("key", F.octet_length("value").cast("long").alias("bytes"))
     weighted = compress(writes, ["key"], "bytes")
     counts = key_counts(weighted, ["key"]).withColumnRenamed("key", "k")
     found = weighted_percentiles(weighted, ["key"], "bytes", {"p50": 0.5, "p95": 0.95})

@@ -280,7 +280,7 @@ SQL = {
     "kv_validate_status": """SELECT CASE WHEN key IS NULL OR key = '' THEN 'empty_key' WHEN octet_length(encode(key)) > 1024 THEN 'key_too_long'
   WHEN octet_length(encode(value)) > 1048576 THEN 'value_too_large' ELSE 'ok' END AS status, count(*) AS n FROM wal_record GROUP BY 1""",
     "kv_rmw": _with("SELECT key, value || 'x' AS value, ver + 1 AS ver FROM live WHERE key IN (SELECT key FROM kv_request WHERE key <> '')"),
-    "kv_append_puts": _with("SELECT count(*) AS n, 1 AS first, count(*) AS last FROM (SELECT DISTINCT key, value, ts FROM changes WHERE op = 'PUT')"),
+    "kv_append_puts": _with("SELECT count(*) AS n, CAST(1 AS BIGINT) AS first, count(*) AS last FROM (SELECT DISTINCT key, value, ts FROM changes WHERE op = 'PUT')"),
     "kv_coalesce_batch": _with(f"""SELECT batch, key, ver, ts, op FROM (SELECT *, row_number() OVER (PARTITION BY batch, key ORDER BY lsn DESC, ver DESC, ts DESC, op DESC) AS rn
   FROM (SELECT *, lsn // {BATCH} AS batch FROM changes)) WHERE rn = 1"""),
     "log_merge_sorted": _with("SELECT key, ver, ts, op FROM (SELECT DISTINCT key, ver, ts, op, node FROM changes)"),
@@ -288,7 +288,7 @@ SQL = {
     "compact_level_plan": _with("""SELECT level, n, capacity FROM (SELECT *, row_number() OVER (ORDER BY level) - 1 AS rn FROM (
   SELECT level, count(*) AS n, CAST(floor(4 * pow(2.0, level)) AS BIGINT) AS capacity FROM runs GROUP BY level) WHERE n >= capacity) WHERE rn = level""", _RUNS),
     "compact_tier_plan": _with(f"SELECT CAST({_TIERS} AS INT) AS tier, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM runs GROUP BY 1 HAVING count(*) >= 4 ORDER BY 1 LIMIT 1", _RUNS),
-    "compact_equivalence": "SELECT 0 AS n",
+    "compact_equivalence": "SELECT CAST(0 AS BIGINT) AS n",
     "run_stats": _with("SELECT level, count(*) AS runs, CAST(sum(bytes) AS BIGINT) AS bytes FROM runs GROUP BY level", _RUNS),
     "scalar_functions": f"""WITH {CRC_TABLE}, k AS (SELECT DISTINCT key, hex(encode(key)) AS h FROM replica_log)
 SELECT key, {CRC} AS crc, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {BYTES}), lambda x, b: (xor(x, b) * 16777619) & 4294967295) AS fnv32,
@@ -303,7 +303,7 @@ SELECT key, {CRC} AS crc, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {
   LEFT JOIN ttl t ON k.key = t.key AND t.op = 'add'""", _TTL),
     "row_cache_stale": """SELECT CASE WHEN lsn > asked THEN 'stale' ELSE 'kept' END AS state, count(*) AS n FROM (SELECT key, max(log_end) AS asked FROM kv_request WHERE key <> '' GROUP BY key)
   JOIN (SELECT key, max(lsn) AS lsn FROM wal_record WHERE key <> '' GROUP BY key) USING (key) GROUP BY 1""",
-    "epoch_sequence": "SELECT attempt, 1 AS first, count(*) AS last, count(*) AS n FROM sync_run GROUP BY attempt",
+    "epoch_sequence": "SELECT attempt, CAST(1 AS BIGINT) AS first, count(*) AS last, count(*) AS n FROM sync_run GROUP BY attempt",
     "log_json_lines": _with("SELECT op, count(*) AS n, max(ver) AS max_ver, CAST(sum(length(key)) AS BIGINT) AS chars FROM changes GROUP BY op"),
     "json_export": _with(f"""SELECT block, '{{' || string_agg('"' || key || '":"' || value || '"', ',' ORDER BY key) || '}}' AS json FROM (
   SELECT key, value, (row_number() OVER (ORDER BY key) - 1) // {EXPORT_ROWS} AS block FROM live WHERE value IS NOT NULL) GROUP BY block"""),

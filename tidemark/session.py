@@ -31,10 +31,13 @@ def stream_table(spark: SparkSession, sf_dir: str, name: str, schema, **options)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is made and set.
+    Only where the setting is absent on a single machine (as in tests) a temporary folder is made and set;
+    on a cluster its absence is an error.
     """
     known = spark.conf.get("spark.checkpoint.dir", None)
     if not known:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         known = "file://" + tempfile.mkdtemp(prefix="tidemark-")
         spark.conf.set("spark.checkpoint.dir", known)
     return known.rstrip("/")

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from tidemark.functions.assignment import assign
+from tidemark.functions.assignment import assign, assign_patterns, weighted
 from tidemark.operators.difference import diff_copies
 
 SCHEMA = "k string, a string, b int, c binary, extra string, __k string"
@@ -91,3 +91,39 @@ def test_equal_copies_in_other_order(spark):
 def test_no_fields(spark):
     with pytest.raises(ValueError):
         diff_copies(frame(spark, []), frame(spark, []), "k", [])
+
+
+def test_patterns_cost_what_their_rows_cost():
+    rng = np.random.default_rng(2)
+    for _ in range(300):
+        fields = int(rng.integers(1, 5))
+        n, m, top = *rng.integers(0, 7, 2).tolist(), int(rng.integers(1, 5))
+        left, right = (np.unique(rng.integers(-1, top, (k, fields)), axis=0) for k in (n, m))
+        n_left, n_right = rng.integers(1, 6, len(left)), rng.integers(1, 6, len(right))
+        cost = ((left[:, None] != right[None]) | (left[:, None] < 0)).sum(2)
+        got = assign_patterns(left, n_left, right, n_right)
+        used_l, used_r = np.zeros(len(left), int), np.zeros(len(right), int)
+        for i, j, k in got:
+            used_l[i] += k
+            used_r[j] += k
+        assert (used_l <= n_left).all() and (used_r <= n_right).all() and used_l.sum() == min(n_left.sum(), n_right.sum()) * (len(left) > 0 < len(right))
+        rows = np.repeat(np.repeat(cost, n_left, 0), n_right, 1)
+        least, even = assign(rows), assign(weighted(rows, min(rows.shape), fields))
+        assert sum(cost[i, j] * k for i, j, k in got) == sum(rows[i, j] for i, j in least) == sum(rows[i, j] for i, j in even)
+        assert sum(cost[i, j] ** 2 * k for i, j, k in got) == sum(rows[i, j] ** 2 for i, j in even)
+
+
+@pytest.mark.parametrize("n", [128, 129])
+def test_rows_that_agree_in_nothing_meet_at_any_size(spark, n):
+    left = [("hot", "x", 1, b"l")] + [("hot", "l", i, b"same") for i in range(10, n // 2 + 9)]
+    right = [("hot", "y", 2, b"r")] + [("hot", "r", i, b"same") for i in range(10, n // 2 + 9)] + [("hot", "y", 3, b"r")] * (n % 2)
+    rows = diff_copies(frame(spark, left), frame(spark, right), "k", ["a", "b", "c"]).collect()
+    assert Counter((r["kind"], len(r["diff"])) for r in rows) == Counter({("changed", 1): n // 2 - 1, ("changed", 3): 1, **({("only_right", 3): 1} if n % 2 else {})})
+
+
+def test_many_leftovers_cost_the_least(spark):
+    random.seed(5)
+    draw = lambda n: [(k, random.choice(["p", "q", "r", None]), random.choice([1, 2, 3, None]), random.choice([b"", b"\x00", bytes([i % 90])])) for k in ("h", None) for i in range(n)]
+    left, right = draw(150), draw(130)
+    exact = summed(diff_copies(frame(spark, left), frame(spark, right), "k", ["a", "b", "c"], exact_limit=1000).collect())
+    assert summed(diff_copies(frame(spark, left), frame(spark, right), "k", ["a", "b", "c"], exact_limit=20).collect()) == exact

@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.assignment import assign
+from ..functions.assignment import assign, assign_patterns, weighted
 from ..session import checkpoint
 from .skew import distributed_rank
 
+_SLOTS = 10_000
 ONLY_LEFT, ONLY_RIGHT, CHANGED = "only_left", "only_right", "changed"
 
 _PAIRS = T.ArrayType(T.StructType([T.StructField("l", T.IntegerType()), T.StructField("r", T.IntegerType())]))
@@ -33,7 +33,7 @@ def _pair_up(sides: pd.Series, digests: pd.Series) -> pd.Series:
             a = np.array([list(digest[i]) for i in left], dtype=object)
             b = np.array([list(digest[i]) for i in right], dtype=object)
             cost = sum((a[:, None, f] != b[None, :, f]).astype(int) for f in range(a.shape[1]))
-            for i, j in assign(cost):
+            for i, j in assign(weighted(cost, min(len(left), len(right)), a.shape[1])):
                 pairs.append({"l": left[i], "r": right[j]})
                 free_l.discard(left[i])
                 free_r.discard(right[j])
@@ -50,12 +50,10 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str, fields: list[str],
     fields, null on the missing side). Equal rows give nothing.
 
     1. Identical rows cancel by multiplicity: one grouping by (key, fields) with signed counts.
-    2. Leftovers of a key are paired so that the total number of differing fields is least. A key with up
-       to ``exact_limit`` leftover rows is solved exactly; rows beyond the smaller side stay unpaired.
-    3. A key with more leftovers is never gathered into one task: its rows are paired in rounds by the
-       largest set of fields that agree, ranks being formed in distributed blocks. Such a key's pairs can
-       cost more than the minimum, and rows that agree in no field with a free row of the other side are
-       reported as missing on either side; no row is lost.
+    2. Leftovers of a key are paired so that the total number of differing fields is least; rows beyond the
+       smaller side stay unpaired. Of pairings with equal totals one of the least sum of squares is reported.
+    3. Up to ``exact_limit`` leftover rows of a key are gathered and solved on their cost matrix. Of a key with
+       more, only the counted patterns of agreement are, which gives the same total; its rows stay spread.
 
     Null equals null and differs from everything else, for keys and fields alike. Empty inputs are copies
     without rows. Other columns of the inputs are pruned. Map columns must be encoded by the caller.
@@ -104,7 +102,8 @@ def diff_copies(left: DataFrame, right: DataFrame, key: str, fields: list[str],
 
     paired = easy.unionByName(hard)
     if any_huge:
-        paired = paired.unionByName(_rounds(net.join(huge, same_key, "left_semi"), pos))
+        numbered = checkpoint(huge.withColumn("__h", F.monotonically_increasing_id()), "huge")
+        paired = paired.unionByName(_by_patterns(net.join(numbered, same_key).drop("__hk"), pos))
     differs = F.filter(F.array(*[F.when(F.col("__p.l").isNull() | F.col("__p.r").isNull() | ~F.col(f"__p.l.{f}").eqNullSafe(F.col(f"__p.r.{f}")), F.lit(f)) for f in fields]), lambda x: x.isNotNull())
     kind = F.when(F.col("__p.r").isNull(), ONLY_LEFT).when(F.col("__p.l").isNull(), ONLY_RIGHT).otherwise(CHANGED)
     return paired.select(F.col("__k").alias(key), kind.alias("kind"), differs.alias("diff"), F.col("__p.l").alias("l"), F.col("__p.r").alias("r"))
@@ -114,28 +113,55 @@ def _text(column, kind: T.DataType):
     return F.base64(column) if isinstance(kind, T.BinaryType) else F.to_json(F.struct(column.alias("v"))) if isinstance(kind, (T.StructType, T.ArrayType)) else column.cast("string")
 
 
-def _rounds(net: DataFrame, pos: dict[str, str]) -> DataFrame:
-    """Pairs of keys with very many leftovers, by falling number of agreeing fields."""
+def _by_patterns(net: DataFrame, pos: dict[str, str]) -> DataFrame:
+    """Pairs of least total cost of keys with very many leftovers (``__h`` numbers the key).
+
+    A value that the key has on one side only agrees with nothing, so all such values of a field are alike:
+    rows become patterns of tokens. One task solves the counted patterns of a key; the rows themselves are
+    numbered within their pattern and meet by number, spread over all tasks.
+    """
     cols = list(pos.values())
+    tokens = [f"__t{i}" for i in range(len(cols))]
     row = lambda side: F.struct(*[F.col(f"{side}.{c}").alias(f) for f, c in pos.items()])
+    net = net.withColumn("__side", F.signum("__net").cast("int"))
+    rows = net
+    for c, t in zip(cols, tokens):
+        both = net.groupBy("__h", c).agg(F.countDistinct("__side").alias("__n")).filter("__n = 2").select("__h", c)
+        known = checkpoint(distributed_rank(both, ["__h"], [F.col(c)], t), "tokens")
+        on = (F.col("a.__h") == F.col("b.__h")) & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        rows = rows.alias("a").join(known.alias("b"), on, "left").select("a.*", F.coalesce(F.col(f"b.{t}"), F.lit(-1)).cast("long").alias(t))
+    rows = checkpoint(rows, "patterns")
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(tokens)
+        a, b = pdf[pdf["__side"] > 0], pdf[pdf["__side"] < 0]
+        left, right = a[tokens].to_numpy(), b[tokens].to_numpy()
+        used_l, used_r, pairs, out = [0] * len(a), [0] * len(b), 0, []
+        for i, j, n in assign_patterns(left, a["__n"].to_numpy(), right, b["__n"].to_numpy()):
+            while n:
+                step = min(n, _SLOTS)  # what one row is exploded into below
+                out.append((1, *left[i], used_l[i], pairs, step))
+                out.append((-1, *right[j], used_r[j], pairs, step))
+                used_l[i], used_r[j], pairs, n = used_l[i] + step, used_r[j] + step, pairs + step, n - step
+        got = pd.DataFrame(out, columns=["__side", *tokens, "__from", "__pair", "__n"])
+        got.insert(0, "__h", pdf["__h"].iloc[0])
+        return got
+
+    counts = rows.groupBy("__h", "__side", *tokens).agg(F.sum(F.abs("__net")).alias("__n"))
+    slots = counts.groupBy("__h").applyInPandas(solve, ", ".join(f"{c} {'int' if c == '__side' else 'long'}" for c in ["__h", "__side", *tokens, "__from", "__pair", "__n"]))
+    slots = slots.withColumn("__i", F.explode(F.expr("sequence(0L, __n - 1)")))
+    slots = slots.select("__h", "__side", *tokens, (F.col("__from") + F.col("__i") + 1).alias("__rank"), (F.col("__pair") + F.col("__i")).alias("__pair"))
     # copies of one row get a number of their own (__u), so that ranks are the same however often they are computed
-    copies = F.expr("array_repeat(cast(signum(__net) as int), cast(abs(__net) as int))")
-    rows = checkpoint(net.select("__k", *cols, F.posexplode(copies).alias("__u", "__s")), "rounds")
-    free_l, free_r, found = rows.filter("__s > 0"), rows.filter("__s < 0"), []
-    for size in range(len(cols) - 1, 0, -1):
-        for agree in combinations(cols, size):
-            group = ["__k", *agree]
-            order = [F.col(c) for c in [*cols, "__u"]]
-            a = distributed_rank(free_l, group, order, "__rank").alias("a")
-            b = distributed_rank(free_r, group, order, "__rank").alias("b")
-            on = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in [*group, "__rank"]])
-            both = a.join(b, on)
-            found.append(both.select(F.col("a.__k").alias("__k"), F.struct(row("a").alias("l"), row("b").alias("r")).alias("__p")))
-            next_l = checkpoint(a.join(b, on, "left_anti").select(*free_l.columns), "rounds")
-            free_r = checkpoint(b.join(a, on, "left_anti").select(*free_r.columns), "rounds")
-            free_l = next_l
-    schema = T.StructType([T.StructField(f, net.schema[c].dataType) for f, c in pos.items()])
-    none = F.lit(None).cast(schema)
-    found.append(free_l.alias("a").select("__k", F.struct(row("a").alias("l"), none.alias("r")).alias("__p")))
-    found.append(free_r.alias("b").select("__k", F.struct(none.alias("l"), row("b").alias("r")).alias("__p")))
-    return reduce(DataFrame.unionByName, found)
+    copies = rows.select("__h", "__k", "__side", *cols, *tokens, F.explode(F.expr("sequence(1L, abs(__net))")).alias("__u"))
+    alike = ["__h", "__side", *tokens]
+    ranked = distributed_rank(copies, alike, [F.col(c) for c in [*cols, "__u"]], "__rank").join(slots, [*alike, "__rank"], "left")
+    ranked = checkpoint(ranked.select("__h", "__k", "__side", *cols, "__pair"), "pairs")
+    a, b = ranked.filter("__side > 0").alias("a"), ranked.filter("__side < 0").alias("b")
+    # a row without partner has a null __pair and meets nothing
+    paired = a.join(b, (F.col("a.__h") == F.col("b.__h")) & (F.col("a.__pair") == F.col("b.__pair")))
+    none = F.lit(None).cast(T.StructType([T.StructField(f, net.schema[c].dataType) for f, c in pos.items()]))
+    return reduce(DataFrame.unionByName, [
+        paired.select(F.col("a.__k").alias("__k"), F.struct(row("a").alias("l"), row("b").alias("r")).alias("__p")),
+        a.filter("__pair is null").select("__k", F.struct(row("a").alias("l"), none.alias("r")).alias("__p")),
+        b.filter("__pair is null").select("__k", F.struct(none.alias("l"), row("b").alias("r")).alias("__p")),
+    ])

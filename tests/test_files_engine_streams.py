@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from tidemark.engine import Engine
 from tidemark.functions.scalar import format_bytes, glob_to_like, host_of, key_of_path, quorum_status, shell_words, truncate_text
-from tidemark.operators import snapshot
+from tidemark.operators import maintain, snapshot
 from tidemark.operators.changes import MergeTable
 from tidemark.operators.ring import Ring, fan_out, place
+from tidemark.plans import store
 from tidemark.sources import store_files
 from tidemark.streaming import state
 
@@ -168,3 +169,17 @@ def test_hint_outbox(spark, tmp_path):
     box = str(tmp_path / "box")
     state.deliver(src, box, lambda h: h.withColumn("ok", F.col("target") == "up"), checkpoint=str(tmp_path / "cp")).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(f"{box}/1").collect()] == [("a", "down", 1, 2)]
+
+
+def test_puts_go_on_behind_the_whole_log(spark, tmp_path, monkeypatch):
+    schema = "lsn long, op string, key string, value string, ver long, ts long"
+    log = spark.createDataFrame([(0, "PUT", "a", "x", 100, 5), (1, "DEL", "b", None, 107, 6), (2, "PUT", "c", "y", None, 7), (3, "PUT", "a", "z", 101, 4)], schema)
+    puts = spark.createDataFrame([("n", "2", 9), ("m", "1", 8)], "key string, value string, ts long")
+    old = [("PUT", "a", "x", 100, 5), ("DEL", "b", None, 107, 6), ("PUT", "c", "y", None, 7), ("PUT", "a", "z", 101, 4)]
+    rows = lambda df: sorted((tuple(r) for r in df.select("op", "key", "value", "ver", "ts").collect()), key=str)
+    assert rows(maintain.append_puts(log, puts, "ts")) == sorted([*old, ("PUT", "m", "1", 108, 8), ("PUT", "n", "2", 109, 9)], key=str)
+    assert rows(maintain.append_puts(log, puts.withColumn("key", F.lit("")), "ts")) == sorted(old, key=str)
+    log.write.parquet(str(tmp_path / "wal_record.parquet"))
+    seen, whole = [], maintain.append_puts
+    monkeypatch.setattr(maintain, "append_puts", lambda log, *rest: seen.append(log.count()) or whole(log, *rest))
+    assert tuple(store.kv_append_puts(spark, str(tmp_path)).select("n", "first", "last").first()) == (2, 1, 2) and seen == [4]

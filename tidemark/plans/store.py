@@ -96,11 +96,12 @@ def kv_rmw(spark, d):
 
 
 def kv_append_puts(spark, d):
-    """Writes appended behind the log: their versions go on from the highest one."""
+    """Writes appended behind the whole log: how many rows it gained and, counted from the highest version before, their first and last one."""
     log = _wal(spark, d)
     puts = changes(log, ["value"]).filter("op = 'PUT'").select("key", "value", "ts").distinct()
-    whole = maintain.append_puts(log.limit(0), puts, "ts")
-    return whole.agg(F.count(F.lit(1)).alias("n"), F.min("ver").alias("first"), F.max("ver").alias("last"))
+    before = log.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.max("ver"), F.lit(0)).alias("top")).first()
+    added = F.when(F.col("ver") > before["top"], F.col("ver") - before["top"])
+    return maintain.append_puts(log, puts, "ts").agg((F.count(F.lit(1)) - before["rows"]).alias("n"), F.min(added).alias("first"), F.max(added).alias("last"))
 
 
 def kv_coalesce_batch(spark, d):

@@ -4,7 +4,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import quotient
+from tidemark.operators import seen
 from tidemark.operators.seen import SeenFilter, answered, error_report
+from tidemark.plans import problems
 
 LOG = "lsn long, key string, extra string"
 ASK = "pos long, key string, log_end long, shard string"
@@ -73,3 +75,16 @@ def test_empty_tables(spark):
     assert answered(spark.createDataFrame(ask, ASK), none_log, "pos", "key", "log_end", "lsn").count() == 0
     assert answered(none_ask, spark.createDataFrame(log, LOG), "pos", "key", "log_end", "lsn").count() == 0
     assert error_report(none_ask, none_log, "pos", "key", "log_end", "lsn").first()["measured_rate"] == 0
+
+
+def test_errors_are_those_of_the_filter_that_answers(spark, tmp_path, monkeypatch):
+    log, ask = rows(300)
+    spark.createDataFrame(log, LOG).write.parquet(str(tmp_path / "wal_record.parquet"))
+    spark.createDataFrame(ask, ASK).write.parquet(str(tmp_path / "kv_request.parquet"))
+    widths, build = [], SeenFilter.build.__func__
+    monkeypatch.setattr(seen.SeenFilter, "build", classmethod(lambda cls, *a, **kw: widths.append((built := build(cls, *a, **kw)).remainder_bits) or built))
+    problems.p4_found(spark, str(tmp_path))
+    answering = set(widths)
+    widths.clear()
+    problems.p4_errors(spark, str(tmp_path))
+    assert set(widths) == answering and len(answering) == 1

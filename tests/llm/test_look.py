@@ -56,3 +56,17 @@ def test_words():
     assert words("foo_bar-Baz9 ＱＵＸ") == ["foo", "bar", "baz9", "qux"] and words("so­ft ST​OP") == ["soft", "stop"]
     assert words("Нет ВОР") == words("нет вор") and words("Straße") == words("STRASSE") and words("ét") == words("ÉT") != words("et")
     assert words("Νοte") == ["note"] == words("NOTE") and words("νan") == ["van"] and words("") == words("​…") == []
+
+
+@pytest.mark.parametrize("a,b", [("\ua4ee\ua4f3", "AO"), ("\u2ca2\u2c9e\u2ca4", "POC"), ("\u2ca3\u2c9f\u2ca5", "poc"), ("аррӏе", "apple"), ("h\u2c9fme", "home"), ("\u15ea\u15f7", "DB"), ("\u2d54K", "OK"), ("\U00010282\U00010292", "BO"), ("\U00010404\U00010415", "OC"), ("\U00010516K", "OK")])
+def test_letters_of_more_scripts(a, b):
+    assert same_look(a) == b == same_look(b)
+    if "ӏ" not in a:
+        assert words(a) == words(b)
+
+
+def test_words_of_more_scripts_stay_their_own():
+    for text in ("\u2c89\u2c9f\u2ca9\u2c9f", "\ua4e4\ua4f3\ua4db", "\u1403\u14c4\u1483\u144e\u142f", "\u2d30\u2d54\u2d30", "кхъӏэ"):
+        assert same_look(text) == text
+    for word in ("\u2c8e\u2c9e\u2cb6", "ӀӘ", "\U00010404\U00010400"):
+        assert words(word) == words(word.lower())

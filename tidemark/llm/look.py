@@ -18,16 +18,26 @@ import regex
 # Letters of the same shape, by script, each with the letter whose shape it has.
 SAME_SHAPE = {
     "Latin": "ɑ=a ɡ=g",
-    "Cyrillic": "а=a с=c ԁ=d е=e һ=h і=i ј=j о=o р=p ԛ=q ѕ=s ѵ=v ԝ=w х=x у=y "
+    "Cyrillic": "а=a с=c ԁ=d е=e һ=h і=i ј=j ӏ=l о=o р=p ԛ=q ѕ=s ѵ=v ԝ=w х=x у=y "
     "А=A В=B С=C Е=E Ԍ=G Н=H І=I Ӏ=I Ј=J К=K М=M О=O Р=P Ԛ=Q Ѕ=S Т=T Ѵ=V Ԝ=W Х=X Ү=Y",
     "Greek": "ϲ=c ϳ=j ο=o ρ=p ν=v Α=A Β=B Ϲ=C Ε=E Ϝ=F Η=H Ι=I Ϳ=J Κ=K Μ=M Ν=N Ο=O Ρ=P Τ=T Χ=X Υ=Y Ζ=Z Γ=Г Π=П Φ=Ф",
     "Armenian": "օ=o հ=h ո=n ս=u Օ=O Տ=S Ս=U",
     "Cherokee": "Ꭺ=A Ᏼ=B Ꮯ=C Ꭰ=D Ꭼ=E Ꮐ=G Ꮋ=H Ꭻ=J Ꮶ=K Ꮮ=L Ꮇ=M Ꮲ=P Ꭱ=R Ꮪ=S Ꭲ=T Ꮩ=V Ꮃ=W Ꮓ=Z",
+    "Coptic": "Ⲏ=H Ⲓ=I Ⲕ=K Ⲙ=M Ⲛ=N Ⲟ=O ⲟ=o Ⲣ=P ⲣ=p Ⲥ=C ⲥ=c Ⲧ=T Ⲩ=Y Ⲭ=X Ⳑ=L",
+    "Lisu": "ꓐ=B ꓑ=P ꓒ=d ꓓ=D ꓔ=T ꓖ=G ꓗ=K ꓙ=J ꓚ=C ꓜ=Z ꓝ=F ꓟ=M ꓠ=N ꓡ=L ꓢ=S ꓣ=R ꓦ=V ꓧ=H ꓪ=W ꓫ=X ꓬ=Y ꓮ=A ꓰ=E ꓲ=I ꓳ=O ꓴ=U",
+    "Canadian_Aboriginal": "ᐯ=V ᑌ=U ᑭ=P ᑯ=d ᑲ=b ᒍ=J ᒪ=L ᕁ=x ᕼ=H ᖇ=R ᖴ=F ᗅ=A ᗪ=D ᗰ=M ᗷ=B",
+    "Tifinagh": "ⴸ=V ⴹ=E ⵏ=I ⵔ=O ⵕ=Q ⵝ=X",
+    "Lycian": "𐊂=B 𐊆=E 𐊇=F 𐊊=I 𐊐=X 𐊒=O 𐊕=P 𐊖=S 𐊗=T",
+    "Carian": "𐊠=A 𐊡=B 𐊢=C 𐊥=F 𐊫=O 𐊰=M 𐊱=T 𐊲=Y 𐊴=X 𐋏=H",
+    "Old_Italic": "𐌁=B 𐌂=C 𐌉=I 𐌑=M 𐌕=T 𐌗=X",
+    "Deseret": "𐐄=O 𐐕=C 𐐛=L 𐐠=S 𐐬=o 𐐽=c 𐑈=s",
+    "Osage": "𐒴=R 𐓂=O 𐓎=U 𐓪=o 𐓶=u",
+    "Elbasan": "𐔓=N 𐔖=O 𐔘=K 𐔜=C 𐔝=V 𐔥=F 𐔦=L 𐔧=X",
     "Katakana": "ヘ=へ",
     "Han": "二=ニ 力=カ 口=ロ 工=エ 卜=ト 夕=タ 八=ハ",
 }
 #: Where several scripts can spell a whole token, the first of these is taken.
-PREFERRED = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Hiragana", "Katakana", "Han")
+PREFERRED = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Hiragana", "Katakana", "Han", "Coptic", "Lisu", "Canadian_Aboriginal", "Tifinagh", "Lycian", "Carian", "Old_Italic", "Deseret", "Osage", "Elbasan")
 #: Marks that are formatting characters by category but are drawn.
 _DRAWN_FORMATS = regex.compile(r"\p{Prepended_Concatenation_Mark}")
 _NO_WIDTH = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]")
@@ -187,11 +197,12 @@ def _folds() -> tuple[dict[int, str], dict[int, str]]:
     of, _ = _shapes()
     first = {ord(c): p for c, p in of.items() if c != p}
     later = {}
-    for pair in SAME_SHAPE["Cyrillic"].split():
+    for pair in chain.from_iterable(SAME_SHAPE[name].split() for name in ("Cyrillic", "Coptic", "Deseret", "Osage")):
         letter, proto = pair.split("=")
         small = letter.casefold()
-        if small not in of and small != letter:
+        if small != letter and of.get(small) != proto.casefold():
             later[ord(small)] = proto.casefold()
+            first.pop(ord(small), None)
     return first, later
 
 
@@ -214,7 +225,7 @@ _runs = _Recalled(_run_words)
 def words(text: str) -> list[str]:
     """Runs of letters (with accents) and digits, compared by look and without letter case.
 
-    Cyrillic letters whose capitals have a Latin shape are folded with them in both cases, so that a word
+    Cyrillic, Coptic, Deseret and Osage letters whose capitals have a Latin shape are folded with them in both cases, so that a word
     equals itself in capitals; characters without width vanish first, all else separates. ASCII characters
     other than letters and digits always separate, so runs between them are folded one by one.
     """

@@ -143,9 +143,9 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, hot_share: float = 0.
     if not 0 < hot_share <= 1:
         raise ValueError("hot_share must lie in (0, 1]")
     counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    total = counts.agg(F.sum("__n")).first()[0] or 0
-    least = max(1, math.ceil(total * hot_share))
-    hot = [r[0] for r in counts.filter(F.col("__n") >= least).limit(math.ceil(1 / hot_share) + 1).select(key).collect() if r[0] is not None] if total > 10_000 else []
+    # the grouping is computed once: the total reads the same exchange
+    least = F.greatest(F.lit(1), F.ceil(counts.agg(F.sum("__n")).scalar() * F.lit(float(hot_share))))
+    hot = [r[0] for r in counts.filter(F.col("__n") >= least).select(key).limit(math.ceil(1 / hot_share) + 1).collect() if r[0] is not None]
     if not hot:
         return many.join(one, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -1,4 +1,4 @@
-"""Queries p1 to p5: the general data-quality problems over the store's tables, with their SQL."""
+"""Queries p1 to p3 and p5: the general data-quality problems over the store's tables, with their SQL."""
 
 from __future__ import annotations
 
@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..operators.changes import replay
 from ..operators.difference import diff_copies
 from ..operators.incremental import Feed, delivered_by
-from ..operators.seen import answered, error_report
 from ..operators.skew import compress, heavy_keys, key_counts, key_profile, weighted_percentiles
 from ..session import table
 
@@ -68,16 +67,6 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
     return merged.read().select("key", "ver", "ts")
 
 
-def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    got = answered(table(spark, d, "kv_request"), table(spark, d, "wal_record"), "pos", "key", "log_end", "lsn")
-    return got.filter("seen").select("pos")
-
-
-def p4_errors(spark: SparkSession, d: str) -> DataFrame:
-    """How often the filter of p4_found alone is wrong, measured over all requests and as derived from its widths."""
-    return error_report(table(spark, d, "kv_request"), table(spark, d, "wal_record"), "pos", "key", "log_end", "lsn")
-
-
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     delivered = delivered_by(table(spark, d, "sync_run"), table(spark, d, "sync_item"))
     feed = Feed(spark)
@@ -86,7 +75,7 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return found if found is not None else table(spark, d, "sync_item").select("key", "ver", "ts").limit(0)
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_profile, p2_lengths, p3_found, p3_compacted, p4_found, p4_errors, p5_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_rows, p2_found, p2_profile, p2_lengths, p3_found, p3_compacted, p5_found)}
 
 _CHANGES = """changes AS (SELECT key, ver, ts, upper(trim(op, ' ' || chr(9))) AS op FROM wal_record
   WHERE key <> '' AND ver IS NOT NULL AND ts IS NOT NULL AND upper(trim(op, ' ' || chr(9))) IN ('PUT', 'DEL'))"""
@@ -115,8 +104,6 @@ SELECT k.key, k.n, k.n_distinct, m.value AS mode, coalesce(m.w, 0) AS mode_n FRO
 FROM replica_write GROUP BY key""",
     "p3_found": _STATE,
     "p3_compacted": _STATE,
-    "p4_found": """WITH f AS (SELECT key, min(lsn) AS lsn FROM wal_record WHERE key <> '' GROUP BY key)
-SELECT DISTINCT pos FROM kv_request r JOIN f ON r.key = f.key WHERE f.lsn <= r.log_end""",
     "p5_found": f"""WITH {_CHANGES}, d AS (SELECT key, ver, ts FROM sync_item WHERE run_id IN (SELECT run_id FROM sync_run WHERE status = 'ok'))
 SELECT DISTINCT key, ver, ts FROM changes c WHERE NOT EXISTS (SELECT 1 FROM d WHERE d.key = c.key AND d.ver = c.ver AND d.ts = c.ts)""",
 }

@@ -3,11 +3,17 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..session import scratch, shuffle_partitions
+from ..functions import runs_merge
+from ..functions.scalar import TIER_BOUNDS
+from ..session import create_file, file_system, names_in, read_file, remove, scratch, shuffle_partitions
 
 PUT, DEL = "PUT", "DEL"
 
@@ -43,124 +49,176 @@ def newest(rows: DataFrame, key: str, order: list[str], carry: list[str]) -> Dat
 class MergeTable:
     """A log-structured merge table of changes, kept as sorted runs in a shared folder.
 
-    ``append`` turns a batch of changes into one run: the newest change per key of the batch, bucketed by
-    key and sorted by key within each bucket. Deletes stay in the run as tombstones. ``read`` merges the
-    runs: all have the same buckets, so bucket i of every run is read by one task and merged there without
-    a shuffle; the highest (ver, ts) wins and keys held by a tombstone are hidden. ``compact`` writes the
-    merge of all runs as one run. Tombstones stay in it, since a change they outrank may still come late;
-    those older than a time given to ``compact`` go. ``append`` compacts by itself beyond ``max_runs`` runs.
-
-    Runs become visible when the manifest that names them is written; a run whose write failed is never
-    named, and repeating the append is safe since merging is idempotent. Order of appends doesn't matter.
-    One writer at a time. Null or empty keys and other rows that are no changes must be filtered before
-    (``changes``). An empty batch gives an empty run. Columns: key, ver, ts, op and ``carry``.
+    ``append`` turns a batch of changes into one run of level 0: the newest change per key of the batch, cut
+    into buckets by the key's hash and sorted by key within each. Deletes stay in the run as tombstones.
+    ``merged`` merges all runs on read: a task opens the sorted files of one bucket (of one range of its keys,
+    if the bucket is larger than ``bucket_bytes``) and merges them as streams, a block of each in memory; the
+    highest (ver, ts) wins. Nothing is shuffled or sorted as a whole. ``read`` hides keys held by a tombstone.
+
+    Compaction by ``policy``, after each append: ``leveled`` merges a level of threshold * ratio^level runs or
+    more into one run of the next level, from level 0 on up to the first level below its limit; ``tiered``
+    merges the smallest size tier with ``threshold`` runs; ``None`` leaves it to ``compact``. So a row is
+    written again once a level or tier, not at every append. Tombstones stay in merged runs, since a change
+    they outrank may lie in another run or still come late; ``compact(drop_before=...)`` drops old ones.
+
+    Runs become visible when the manifest that names them appears, whole and under a new number; a run whose
+    write failed is never named, and repeating the append is safe since merging is idempotent. Order of
+    appends doesn't matter. One writer at a time: a second one's manifest is refused. Runs that were merged
+    away are kept for ``keep`` more manifests, so that frames built before still read.
+
+    Null or empty keys and other rows that are no changes must be filtered before (``changes``). An empty
+    batch gives an empty run. Columns: key, ver, ts, op and ``carry``, which must be sortable. The folder must
+    be one that pyarrow opens by its address too (a file system mounted everywhere, HDFS, S3, GCS).
     """
 
-    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, carry: list[str] | None = None, max_runs: int = 8):
-        self.spark = spark
-        self.path = path or scratch(spark, "merge-table")
-        self.buckets = buckets or shuffle_partitions(spark)
-        self.carry = carry or []
-        self.max_runs = max_runs
-        self._fs = spark._jvm.org.apache.hadoop.fs.Path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
-        self._load()
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, carry: list[str] | None = None,
+                 policy: str | None = "leveled", threshold: int = 4, ratio: float = 2.0, keep: int = 2, bucket_bytes: int = 256 << 20):
+        if policy not in ("leveled", "tiered", None):
+            raise ValueError("policy must be leveled, tiered or None")
+        self.spark, self.path = spark, path or scratch(spark, "merge-table")
+        self.buckets, self.carry = buckets or shuffle_partitions(spark), carry or []
+        self.policy, self.threshold, self.ratio, self.keep, self.bucket_bytes = policy, threshold, ratio, keep, bucket_bytes
+        self.rewritten = 0  # runs that compactions of this object have taken in
+        self.refresh()
 
     # -- manifest -------------------------------------------------------------------------------------
-    def _at(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-
-    def _load(self) -> None:
-        """The manifest with the highest number holds; each is written whole before it gets its name."""
-        self._generation, self.runs = 0, []
-        if not self._fs.exists(self._at("manifest")):
-            return
-        names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._at("manifest")) if not s.getPath().getName().startswith("."))
+    def refresh(self) -> None:
+        """The manifest with the highest number holds."""
+        self._generation, self.runs, self._gone, self._schema = 0, [], [], None
+        names = names_in(self.spark, f"{self.path}/manifest")
         if names:
-            stream = self._fs.open(self._at(f"manifest/{names[-1]}"))
-            try:
-                m = json.loads(bytes(stream.readAllBytes()).decode())
-            finally:
-                stream.close()
-            self._generation, self.runs, self.buckets, self.carry = int(names[-1]), m["runs"], m["buckets"], m["carry"]
-
-    def _save(self, runs: list[str]) -> None:
+            m = json.loads(read_file(self.spark, f"{self.path}/manifest/{names[-1]}"))
+            self._generation, self.runs, self._gone, self.buckets, self.carry = int(names[-1]), m["runs"], m["gone"], m["buckets"], m["carry"]
+            self._schema = T.StructType.fromJson(m["schema"])
+
+    def _commit(self, runs: list[dict]) -> None:
         generation = self._generation + 1
-        draft, final = self._at(f"manifest/.draft-{generation}"), self._at(f"manifest/{generation:010d}")
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"runs": runs, "buckets": self.buckets, "carry": self.carry}).encode()))
-        out.close()
-        if self._fs.exists(final) or not self._fs.rename(draft, final):
+        names = {r["name"] for r in runs}
+        gone = [*self._gone, *([r["name"], generation] for r in self.runs if r["name"] not in names)]
+        old = [g for g in gone if g[1] <= generation - self.keep]
+        gone = [g for g in gone if g not in old]
+        body = {"runs": runs, "gone": gone, "buckets": self.buckets, "carry": self.carry, "schema": self._schema.jsonValue()}
+        if not create_file(self.spark, f"{self.path}/manifest/{generation:010d}", json.dumps(body).encode()):
             raise RuntimeError(f"another writer has committed generation {generation}")
-        self._generation, self.runs = generation, runs
+        self._generation, self.runs, self._gone = generation, runs, gone
+        for name, _ in old:
+            remove(self.spark, f"{self.path}/{name}")
+        if generation > self.keep:
+            remove(self.spark, f"{self.path}/manifest/{generation - self.keep:010d}")
 
     # -- runs -----------------------------------------------------------------------------------------
-    def _table(self, run: str) -> str:
-        return "tidemark_run_" + "".join(c if c.isalnum() else "_" for c in f"{self.path.rsplit('/', 1)[-1]}_{run}").lower()
-
-    def _write(self, rows: DataFrame) -> str:
-        run = scratch(self.spark, "run").rsplit("/", 1)[-1]
-        (
-            # the grouping before has partitioned by key already: a bucket lies whole in one task
-            rows.write.format("parquet").bucketBy(self.buckets, "key").sortBy("key")
-            .option("path", f"{self.path}/{run}").saveAsTable(self._table(run))
-        )
-        return run
-
-    def _run(self, run: str) -> DataFrame:
-        name = self._table(run)
-        if not self.spark.catalog.tableExists(name):  # a new session: register what is on disk
-            schema = self.spark.read.parquet(f"{self.path}/{run}").schema
-            columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
-            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (key) SORTED BY (key) INTO {self.buckets} BUCKETS LOCATION '{self.path}/{run}'")
-        # The filter (versions are never null) makes the scan hand on rows: Spark 4.1 aligns the buckets of a
-        # union of row inputs, yet concatenates those of column batches while still trusting the bucketing. It
-        # must not be on the key: a changed nullability of the bucketing column undoes the alignment.
-        return self.spark.table(name).filter(F.col("ver").isNotNull())
+    def _write(self, rows: DataFrame, level: int) -> dict:
+        """A run of distinct keys. Where the rows come out of a grouping by key a bucket lies whole in one task."""
+        name = scratch(self.spark, "run").rsplit("/", 1)[-1]
+        if self._schema is None:
+            self._schema = rows.schema
+        cut = rows.withColumn("__bucket", F.pmod(F.hash("key"), F.lit(self.buckets))).sortWithinPartitions("__bucket", "key")
+        cut.write.partitionBy("__bucket").option("parquet.block.size", 32 << 20).parquet(f"{self.path}/{name}")
+        return {"name": name, "level": level, "bytes": sum(size for _, _, size in self._files(name))}
+
+    def _files(self, name: str) -> list[tuple[int, str, int]]:
+        """Bucket, address and size of the files of a run."""
+        fs, at = file_system(self.spark, f"{self.path}/{name}")
+        found, listed = [], fs.listFiles(at, True)
+        while listed.hasNext():
+            f = listed.next()
+            if f.getPath().getName().endswith(".parquet") and "__bucket=" in f.getPath().getParent().getName():
+                found.append((int(f.getPath().getParent().getName().split("=")[1]), f.getPath().toString(), f.getLen()))
+        return found
 
     def append(self, batch: DataFrame) -> str:
-        run = self._write(newest(batch, "key", ["ver", "ts"], ["op", *self.carry]))
-        self._save([*self.runs, run])
-        if len(self.runs) > self.max_runs:
-            self.compact()
-        return run
-
-    def merged(self) -> DataFrame:
-        """The newest change of each key, tombstones included; no shuffle as long as buckets agree."""
-        if not self.runs:
-            raise ValueError("the table has no runs yet")
-        rows = self._run(self.runs[0])
-        for run in self.runs[1:]:
-            rows = rows.unionByName(self._run(run))
-        return newest(rows, "key", ["ver", "ts"], ["op", *self.carry])
-
-    def read(self) -> DataFrame:
-        """Live keys with the change each holds: key, ver, ts and the carried columns."""
-        return self.merged().filter(F.col("op") == PUT).drop("op")
+        run = self._write(newest(batch, "key", ["ver", "ts"], ["op", *self.carry]), 0)
+        self._commit([*self.runs, run])
+        self.maintain()
+        return run["name"]
 
-    def compact(self, drop_before: int | None = None) -> None:
-        """One run instead of all; old runs are deleted after the new manifest holds.
+    def merged(self, columns: list[str] | None = None, low: str | None = None, high: str | None = None, runs: list[dict] | None = None, live: bool = False) -> DataFrame:
+        """The newest change of each key, tombstones included unless ``live``; no shuffle.
 
-        Tombstones with a ts below ``drop_before`` are dropped: safe if no change that old can still come.
+        ``columns`` are the carried ones to read; ``low`` and ``high`` bound the keys (high not included)
+        and are held against the statistics of the files' row groups.
         """
-        old = self.runs
-        rows = self.merged()
+        runs = self.runs if runs is None else runs
+        if self._schema is None or not runs:
+            raise ValueError("the table has no runs yet")
+        names = ["key", "ver", "ts", "op", *(self.carry if columns is None else columns)]
+        schema = T.StructType([self._schema[n] for n in names])
+        buckets: dict[int, list[tuple[str, int]]] = {}
+        for r in runs:
+            for bucket, file, size in self._files(r["name"]):
+                buckets.setdefault(bucket, []).append((file, size))
+        tasks = []
+        for files in buckets.values():
+            parts = max(1, -(-sum(size for _, size in files) // self.bucket_bytes))
+            tasks += [(sorted(files, key=lambda f: -f[1]), i, parts) for i in range(parts)]
+        if not tasks:
+            return self.spark.createDataFrame([], schema)
+        known = self.spark.sparkContext.broadcast(tasks)  # a few names for each task
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    files, part, parts = known.value[i]
+                    for t in runs_merge.merge_files([f for f, _ in files], names, part, parts, low, high):
+                        t = t.filter(pc.equal(t["op"], PUT)) if live else t
+                        yield from t.to_batches()
+
+        return self.spark.range(0, len(tasks), 1, len(tasks)).mapInArrow(run, schema)
+
+    def read(self, columns: list[str] | None = None, low: str | None = None, high: str | None = None) -> DataFrame:
+        """Live keys with the change each holds: key, ver, ts and the carried columns."""
+        return self.merged(columns, low, high, live=True).drop("op")
+
+    # -- compaction -----------------------------------------------------------------------------------
+    def maintain(self) -> None:
+        """What the policy asks for now; each merge is committed for itself."""
+        if self.policy == "leveled":
+            level = 0
+            while len(full := [r for r in self.runs if r["level"] == level]) >= int(self.threshold * self.ratio**level):
+                self.compact(full)
+                level += 1
+        while self.policy == "tiered":
+            tiers: dict[int, list[dict]] = {}
+            for r in self.runs:
+                tiers.setdefault(sum(r["bytes"] >= bound for bound in TIER_BOUNDS), []).append(r)
+            due = next((tiers[t] for t in sorted(tiers) if len(tiers[t]) >= self.threshold), None)
+            if due is None:
+                break
+            self.compact(due)
+
+    def compact(self, runs: list[dict] | None = None, drop_before: int | None = None) -> None:
+        """One run instead of some (of all, if none are named), a level above the highest of them.
+
+        Tombstones with a ts below ``drop_before`` are dropped, which takes all runs: safe if no change that
+        old can still come.
+        """
+        chosen = self.runs if runs is None else runs
+        if drop_before is not None and len(chosen) < len(self.runs):
+            raise ValueError("tombstones can only be dropped when all runs are merged")
+        if not chosen:
+            return
+        rows = self.merged(runs=chosen)
         if drop_before is not None:
             rows = rows.filter((F.col("op") == PUT) | (F.col("ts") >= drop_before))
-        self._save([self._write(rows)])
-        for run in old:
-            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(run)}")
-            self._fs.delete(self._at(run), True)
+        names = {r["name"] for r in chosen}
+        new = self._write(rows, max(r["level"] for r in chosen) + 1)
+        self.rewritten += len(chosen)
+        self._commit([*(r for r in self.runs if r["name"] not in names), new])
+
+    def run_table(self) -> DataFrame:
+        """A row per run: name, level, bytes."""
+        return self.spark.createDataFrame([(r["name"], r["level"], r["bytes"]) for r in self.runs], "name string, level int, bytes long")
 
 
-def replay(log: DataFrame, position: str, runs: int = 4, carry: list[str] | None = None, path: str | None = None) -> MergeTable:
-    """Feed a log to a merge table in ``runs`` equal ranges of its ``position`` column.
+def replay(log: DataFrame, position: str, runs: int = 4, carry: list[str] | None = None, path: str | None = None, policy: str | None = None) -> MergeTable:
+    """Feed a log to a merge table in ``runs`` equal ranges of its ``position`` column, each read for itself.
 
     The position is only used to cut the log; which change holds depends on (ver, ts) alone, so changes
     that come late, early or again give the same table. Rows with a null position join the first range.
     """
     spark = log.sparkSession
     lo, hi = log.agg(F.min(position), F.max(position)).first()
-    table = MergeTable(spark, path, carry=carry, max_runs=max(runs, 8))
+    table = MergeTable(spark, path, carry=carry, policy=policy)
     if lo is None:
         table.append(changes(log, carry))
         return table

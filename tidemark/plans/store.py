@@ -134,17 +134,24 @@ def compact_tier_plan(spark, d):
     return maintain.tier_plan(_runs(spark, d))
 
 
+def _appended(spark, d, policy):
+    """The log appended in sixteen parts, with compaction on the way."""
+    merged = MergeTable(spark, carry=["value"], policy=policy, threshold=2)
+    for part in range(16):
+        merged.append(changes(_wal(spark, d).filter(F.pmod(F.crc32(F.col("ver").cast("string")), F.lit(16)) == part), ["value"]))
+    return merged
+
+
 def compact_equivalence(spark, d):
-    """Rows of the state before and after merging everything that are not in the other: none."""
-    log = _wal(spark, d)
-    before = snapshot.live(log).select("key", "ver", "ts")
-    merged = MergeTable(spark, carry=["value"], max_runs=1)
-    for node in ("node-1", "node-2"):
-        merged.append(changes(log.filter(F.col("node") == node), ["value"]))
-    merged.append(changes(log.filter(F.col("node").isNull() | ~F.col("node").isin("node-1", "node-2")), ["value"]))
-    after = merged.read().select("key", "ver", "ts")
-    sides = before.withColumn("s", F.lit(1)).unionByName(after.withColumn("s", F.lit(-1)))
-    return sides.groupBy("key", "ver", "ts").agg(F.sum("s").alias("s")).filter("s <> 0").agg(F.count(F.lit(1)).alias("n"))
+    """The state after leveled compactions on the way and a whole one at the end."""
+    merged = _appended(spark, d, "leveled")
+    merged.compact()
+    return merged.read().select("key", "value", "ver", "ts")
+
+
+def compact_tiered(spark, d):
+    """The state after size-tiered compactions on the way."""
+    return _appended(spark, d, "tiered").read().select("key", "value", "ver", "ts")
 
 
 def run_stats(spark, d):
@@ -235,7 +242,7 @@ def stream_latest(spark, d):
 QUERIES = {f.__name__: f for f in (
     kv_latest, kv_scan_prefix, kv_keys, kv_get, kv_since_version, kv_stats, kv_multiget, kv_batch_get_ordered, kv_batch_get_counts, kv_seek_ge, kv_prev,
     kv_rank_cursor, kv_exists_count, kv_keys_glob, kv_scan_page, kv_delete_many, kv_validate_status, kv_rmw, kv_append_puts, kv_coalesce_batch, log_merge_sorted,
-    log_dedup_ttl, compact_level_plan, compact_tier_plan, compact_equivalence, run_stats, scalar_functions, scalar_fnv64, scalar_hosts, quorum_validate,
+    log_dedup_ttl, compact_level_plan, compact_tier_plan, compact_equivalence, compact_tiered, run_stats, scalar_functions, scalar_fnv64, scalar_hosts, quorum_validate,
     ttl_expired, ttl_is_expired, row_cache_stale, epoch_sequence, log_json_lines, json_export, json_import, parquet_run, stream_latest)}
 
 CHANGES = """changes AS (SELECT key, ver, ts, upper(trim(op, ' ' || chr(9))) AS op, value, lsn, node FROM wal_record
@@ -289,7 +296,8 @@ SQL = {
     "compact_level_plan": _with("""SELECT level, n, capacity FROM (SELECT *, row_number() OVER (ORDER BY level) - 1 AS rn FROM (
   SELECT level, count(*) AS n, CAST(floor(4 * pow(2.0, level)) AS BIGINT) AS capacity FROM runs GROUP BY level) WHERE n >= capacity) WHERE rn = level""", _RUNS),
     "compact_tier_plan": _with(f"SELECT CAST({_TIERS} AS INT) AS tier, count(*) AS n, CAST(sum(bytes) AS BIGINT) AS bytes FROM runs GROUP BY 1 HAVING count(*) >= 4 ORDER BY 1 LIMIT 1", _RUNS),
-    "compact_equivalence": "SELECT CAST(0 AS BIGINT) AS n",
+    "compact_equivalence": _with("SELECT key, value, ver, ts FROM live"),
+    "compact_tiered": _with("SELECT key, value, ver, ts FROM live"),
     "run_stats": _with("SELECT level, count(*) AS runs, CAST(sum(bytes) AS BIGINT) AS bytes FROM runs GROUP BY level", _RUNS),
     "scalar_functions": f"""WITH {CRC_TABLE}, k AS (SELECT DISTINCT key, hex(encode(key)) AS h FROM replica_log)
 SELECT key, {CRC} AS crc, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {BYTES}), lambda x, b: (xor(x, b) * 16777619) & 4294967295) AS fnv32,

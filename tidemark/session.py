@@ -48,13 +48,61 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{label}-{int(time.time())}-{os.getpid()}-{next(_serial)}-{uuid.uuid4().hex[:8]}"
 
 
+def file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def create_file(spark: SparkSession, path: str, data: bytes) -> bool:
+    """A small file that appears whole under its name or not at all; false if the name is taken already.
+
+    Goes through the manager Structured Streaming commits with, so it is atomic wherever streams are.
+    """
+    _, at = file_system(spark, path)
+    kind = spark._jvm.java.lang.Class.forName("org.apache.spark.sql.execution.streaming.checkpointing.CheckpointFileManager$")
+    files = kind.getField("MODULE$").get(None).create(at, spark._jsc.hadoopConfiguration())
+    files.mkdirs(at.getParent())
+    if files.exists(at):
+        return False
+    out = files.createAtomic(at, False)
+    out.write(bytearray(data))
+    try:
+        out.close()
+    except Exception as e:  # noqa: BLE001
+        if "FileAlreadyExists" in str(e):
+            return False
+        raise
+    return True
+
+
+def read_file(spark: SparkSession, path: str) -> bytes:
+    fs, at = file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def names_in(spark: SparkSession, path: str) -> list[str]:
+    """Names of the visible entries of a folder, sorted; none if there is no such folder."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        return []
+    return sorted(n for s in fs.listStatus(at) if not (n := s.getPath().getName()).startswith((".", "_")))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, at = file_system(spark, path)
+    fs.delete(at, True)
+
+
 def release(spark: SparkSession) -> None:
     """Delete what operators have written to the shared folder; for when all results have been consumed.
 
     Tables and feeds that were given no path of their own lie there too.
     """
-    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tidemark")
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    remove(spark, f"{shared_dir(spark)}/tidemark")
 
 
 def checkpoint(df: DataFrame, label: str = "cut") -> DataFrame:

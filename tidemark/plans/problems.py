@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators.changes import replay
 from ..operators.difference import diff_copies
-from ..operators.incremental import Feed, delivered_by
+from ..operators.incremental import Feed
 from ..operators.skew import compress, heavy_keys, key_counts, key_profile, weighted_percentiles
 from ..session import table
 
@@ -68,10 +68,11 @@ def p3_compacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    delivered = delivered_by(table(spark, d, "sync_run"), table(spark, d, "sync_item"))
+    """The next run after those of sync_run: their deliveries are adopted, then the log is run through the feed."""
     feed = Feed(spark)
-    feed.run(table(spark, d, "wal_record"), delivered)
-    found = feed.output()
+    feed.adopt(table(spark, d, "sync_run"), table(spark, d, "sync_item"))
+    commit = feed.run(table(spark, d, "wal_record"))
+    found = feed.output(commit["id"]) if commit["rows"] else None
     return found if found is not None else table(spark, d, "sync_item").select("key", "ver", "ts").limit(0)
 
 

@@ -135,10 +135,10 @@ def compact_tier_plan(spark, d):
 
 
 def _appended(spark, d, policy):
-    """The log appended in sixteen parts, with compaction on the way."""
+    """The log appended in four parts, with compaction on the way."""
     merged = MergeTable(spark, carry=["value"], policy=policy, threshold=2)
-    for part in range(16):
-        merged.append(changes(_wal(spark, d).filter(F.pmod(F.crc32(F.col("ver").cast("string")), F.lit(16)) == part), ["value"]))
+    for part in range(4):
+        merged.append(changes(_wal(spark, d).filter(F.pmod(F.crc32(F.col("ver").cast("string")), F.lit(4)) == part), ["value"]))
     return merged
 
 

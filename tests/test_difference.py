@@ -127,3 +127,10 @@ def test_many_leftovers_cost_the_least(spark):
     left, right = draw(150), draw(130)
     exact = summed(diff_copies(frame(spark, left), frame(spark, right), "k", ["a", "b", "c"], exact_limit=1000).collect())
     assert summed(diff_copies(frame(spark, left), frame(spark, right), "k", ["a", "b", "c"], exact_limit=20).collect()) == exact
+
+
+def test_one_row_a_hundred_thousand_times(spark):
+    left = spark.range(100_000).selectExpr("'hot' as k", "'same' as a", "1 as b", "binary('') as c").unionByName(frame(spark, [("hot", "z", 2, b"q")]).select("k", "a", "b", "c"))
+    right = frame(spark, [("hot", "same", 2, b"")] * 3)
+    rows = diff_copies(left, right, "k", ["a", "b", "c"])
+    assert {(r["kind"], tuple(r["diff"])): r["count"] for r in rows.groupBy("kind", "diff").count().collect()} == {("changed", ("b",)): 3, ("only_left", ("a", "b", "c")): 99_998}

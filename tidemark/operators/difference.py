@@ -151,8 +151,10 @@ def _by_patterns(net: DataFrame, pos: dict[str, str]) -> DataFrame:
     slots = counts.groupBy("__h").applyInPandas(solve, ", ".join(f"{c} {'int' if c == '__side' else 'long'}" for c in ["__h", "__side", *tokens, "__from", "__pair", "__n"]))
     slots = slots.withColumn("__i", F.explode(F.expr("sequence(0L, __n - 1)")))
     slots = slots.select("__h", "__side", *tokens, (F.col("__from") + F.col("__i") + 1).alias("__rank"), (F.col("__pair") + F.col("__i")).alias("__pair"))
-    # copies of one row get a number of their own (__u), so that ranks are the same however often they are computed
-    copies = rows.select("__h", "__k", "__side", *cols, *tokens, F.explode(F.expr("sequence(1L, abs(__net))")).alias("__u"))
+    # a row that is there very often is cut into ranges of copies, which spread over the tasks; its
+    # copies get a number of their own (__u), so that ranks are the same however often they are computed
+    ranges = rows.withColumn("__c", F.explode(F.expr(f"sequence(0L, (abs(__net) - 1) div {_SLOTS})"))).repartition("__h", *cols, "__c")
+    copies = ranges.select("__h", "__k", "__side", *cols, *tokens, F.explode(F.expr(f"sequence(__c * {_SLOTS} + 1, least((__c + 1) * {_SLOTS}, abs(__net)))")).alias("__u"))
     alike = ["__h", "__side", *tokens]
     ranked = distributed_rank(copies, alike, [F.col(c) for c in [*cols, "__u"]], "__rank").join(slots, [*alike, "__rank"], "left")
     ranked = checkpoint(ranked.select("__h", "__k", "__side", *cols, "__pair"), "pairs")

@@ -29,10 +29,13 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_rows(spark: SparkSession, d: str) -> DataFrame:
-    """All rows of both nodes, older versions too, compared as copies with repeated keys."""
+    """All rows of both nodes, older versions too, compared as copies with repeated keys: per key the rows paired, the rows
+    without partner on either side, and the fields in which pairs differ, which are as few as any pairing has."""
     log = table(spark, d, "replica_log")
     rows = diff_copies(log.filter("node = 'node-1'"), log.filter("node = 'node-2'"), "key", ENTRY_FIELDS)
-    return rows.groupBy("kind", F.array_join("diff", ",").alias("diff")).agg(F.count(F.lit(1)).alias("n"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    return rows.groupBy("key").agg(count("changed").alias("changed"), count("only_left").alias("only_left"), count("only_right").alias("only_right"),
+                                   F.sum(F.when(F.col("kind") == "changed", F.size("diff")).otherwise(0)).alias("fields"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -94,6 +97,17 @@ SELECT key, 'only_node_1' AS diff FROM j WHERE kb IS NULL UNION ALL SELECT key,
 UNION ALL SELECT key, 'value' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND va IS DISTINCT FROM vb
 UNION ALL SELECT key, 'version' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ra IS DISTINCT FROM rb
 UNION ALL SELECT key, 'tombstone' FROM j WHERE ka IS NOT NULL AND kb IS NOT NULL AND ta IS DISTINCT FROM tb""",
+    "p1_rows": """WITH RECURSIVE net AS (SELECT key, value, version, tombstone, CAST(sum(CASE node WHEN 'node-1' THEN 1 WHEN 'node-2' THEN -1 ELSE 0 END) AS BIGINT) AS s FROM replica_log GROUP BY ALL HAVING s <> 0),
+e AS (SELECT key, value, version, tombstone, s > 0 AS own FROM (SELECT *, unnest(range(abs(s))) AS copy FROM net)),
+x AS (SELECT *, row_number() OVER (PARTITION BY key, own) AS i FROM e),
+n AS (SELECT key, count(*) FILTER (own) AS nl, count(*) FILTER (NOT own) AS nr FROM e GROUP BY key),
+o AS (SELECT a.key, a.i, b.i AS j, (a.value IS DISTINCT FROM b.value)::BIGINT + (a.version IS DISTINCT FROM b.version)::BIGINT + (a.tombstone IS DISTINCT FROM b.tombstone)::BIGINT AS cost
+  FROM x a JOIN x b ON a.key = b.key WHERE a.own AND NOT b.own UNION ALL SELECT key, i, 0, 0 FROM x WHERE own),
+walk(key, i, used, pairs, cost) AS (SELECT key, CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM n WHERE nl > 0 AND nr > 0 UNION ALL
+  SELECT w.key, o.i, CASE WHEN j = 0 THEN used ELSE used | (CAST(1 AS BIGINT) << CAST(j - 1 AS INTEGER)) END, pairs + CAST(j > 0 AS BIGINT), w.cost + o.cost
+  FROM walk w JOIN o ON o.key = w.key AND o.i = w.i + 1 WHERE j = 0 OR (used >> CAST(j - 1 AS INTEGER)) & 1 = 0),
+best AS (SELECT w.key, min(w.cost) AS cost FROM walk w JOIN n ON n.key = w.key WHERE w.i = nl AND pairs = least(nl, nr) GROUP BY w.key)
+SELECT n.key, least(nl, nr) AS changed, nl - least(nl, nr) AS only_left, nr - least(nl, nr) AS only_right, coalesce(best.cost, 0) AS fields FROM n LEFT JOIN best ON n.key = best.key""",
     "p2_found": """WITH u AS (SELECT 'wal_record' AS tbl, key FROM wal_record UNION ALL SELECT 'replica_write', key FROM replica_write),
 t AS (SELECT tbl, count(*) AS total FROM u GROUP BY tbl), c AS (SELECT tbl, key, count(*) AS n FROM u WHERE key <> '' GROUP BY tbl, key)
 SELECT c.tbl, c.key FROM c JOIN t ON c.tbl = t.tbl WHERE n * 100 >= total * 2""",

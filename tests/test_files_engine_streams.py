@@ -94,7 +94,7 @@ def test_small_functions(spark):
     assert [show(quorum_status(*map(F.lit, q))) for q in ((3, 2, 2), (3, 1, 1), (3, 4, 1))] == ["ok", "no_overlap", "invalid_quorum"]
     assert [show(key_of_path(F.lit(x), "/api/v1/get/")) for x in ("/api/v1/get/a%2Fb", "/other", "/api/v1/get/")] == ["a/b", "", ""]
     assert glob_to_like("a*?_%\\") == "a%_\\_\\%\\\\"
-    assert shell_words("put 'a b' \"c'd\" e\\ f ''") == ["put", "a b", "c'd", "e f", ""]
+    assert shell_words('put "a b" c"d e"f g\\ h "" "x\\y') == ["put", "a b", "cd ef", "g h", "x\\y"]
 
 
 def stream_of(spark, tmp_path, batches, schema):

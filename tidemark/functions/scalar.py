@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,9 +14,10 @@ MAX_KEY_BYTES, MAX_VALUE_BYTES = 1024, 1 << 20
 MB = 1 << 20
 #: Upper bounds of the size tiers of runs, in bytes; larger runs are of the last tier.
 TIER_BOUNDS = (MB, 10 * MB, 100 * MB, 1024 * MB)
-# Offset basis and prime of FNV-1a.
+# Offset basis and prime of FNV-1a, and the multiplier of the second hash.
 FNV32 = (2166136261, 16777619)
 FNV64 = (14695981039346656037, 1099511628211)
+MIX = 0xBF58476D1CE4E5B9
 
 
 def ring_hash(key: Column) -> Column:
@@ -42,23 +46,60 @@ def byte_sum(key: Column) -> Column:
     return F.aggregate(numbers, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
-def _fnv64(data: bytes) -> int:
-    h, prime = FNV64
-    for b in data:
-        h = (h ^ b) * prime & 0xFFFFFFFFFFFFFFFF
-    return h
+def fnv64(data: list[bytes]) -> np.ndarray:
+    """FNV-1a, 64 bits, of many byte strings at once: one step over all that are long enough for each place."""
+    basis, prime = FNV64
+    lengths = np.fromiter(map(len, data), np.int64, len(data))
+    order = np.argsort(-lengths, kind="stable")
+    starts = (np.cumsum(lengths) - lengths)[order]
+    flat = np.frombuffer(b"".join(data), np.uint8).astype(np.uint64)
+    h = np.full(len(data), basis, np.uint64)
+    longer = np.searchsorted(-lengths[order], -np.arange(1, (lengths.max() if len(data) else 0) + 1), "right")
+    for place, n in enumerate(longer.tolist()):
+        h[:n] = (h[:n] ^ flat[starts[:n] + place]) * np.uint64(prime)
+    out = np.empty_like(h)
+    out[order] = h
+    return out
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """The second hash of a pair: folded, multiplied, folded again."""
+    h = (h ^ (h >> np.uint64(17))) * np.uint64(MIX)
+    return h ^ (h >> np.uint64(31))
+
+
+def _known(keys: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    there = keys.notna().to_numpy()
+    return there, fnv64([k.encode() for k in keys[there]])
+
+
+def _decimal(there: np.ndarray, h: np.ndarray) -> list[str | None]:
+    found = iter(map(str, h.tolist()))
+    return [next(found) if x else None for x in there]
 
 
 @F.pandas_udf(T.StringType())
 def fnv1a_64(keys: pd.Series) -> pd.Series:
     """FNV-1a, 64 bits, as unsigned decimal text (it exceeds BIGINT)."""
-    return keys.map(lambda k: None if k is None else str(_fnv64(k.encode())))
+    return pd.Series(_decimal(*_known(keys)), dtype=object)
+
+
+@F.pandas_udf(T.StringType())
+def fnv1a_64_second(keys: pd.Series) -> pd.Series:
+    """The hash that goes with ``fnv1a_64`` in a Bloom filter."""
+    there, h = _known(keys)
+    return pd.Series(_decimal(there, mixed(h)), dtype=object)
 
 
 @F.pandas_udf(T.LongType())
 def scramble(ids: pd.Series) -> pd.Series:
     """FNV-1a over the eight bytes of an integer, low byte first, top bit cleared."""
-    return ids.map(lambda i: _fnv64(int(i).to_bytes(8, "little", signed=i < 0)) & 0x7FFFFFFFFFFFFFFF)
+    basis, prime = FNV64
+    n = ids.to_numpy(np.int64).view(np.uint64)
+    h = np.full(len(n), basis, np.uint64)
+    for place in range(8):
+        h = (h ^ ((n >> np.uint64(8 * place)) & np.uint64(255))) * np.uint64(prime)
+    return pd.Series((h & np.uint64((1 << 63) - 1)).astype(np.int64))
 
 
 def admission(key: Column, value: Column, need_value: bool = False) -> Column:
@@ -125,27 +166,34 @@ def key_of_path(path: Column, prefix: str) -> Column:
     return F.when(path.startswith(prefix), F.url_decode(F.substring(path, len(prefix) + 1, 1 << 20))).otherwise(F.lit(""))
 
 
+def grpc_address(address: Column, port: int) -> Column:
+    """``host:port`` of an address with or without scheme, port and path."""
+    return F.concat(host_of(address), F.lit(f":{port}"))
+
+
+def quorum_feasible(healthy: Column, need: Column) -> Column:
+    """Whether enough nodes are healthy for a quorum."""
+    return healthy >= need
+
+
+def unix_nanos(at: Column) -> Column:
+    return F.unix_micros(at) * 1000
+
+
+def display_time(at: Column) -> Column:
+    return F.date_format(at, "yyyy-MM-dd HH:mm:ss")
+
+
+def rfc3339(at: Column) -> Column:
+    """UTC, with as many digits of the second's fraction as it has."""
+    return F.concat(F.regexp_replace(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.?0*$", ""), F.lit("Z"))
+
+
+_WORD = re.compile(r'(?:\\.|"[^"]*(?:"|$)|[^\\ "])+', re.S)
+_PART = re.compile(r'\\(.)|"([^"]*)(?:"|$)|([^\\"])', re.S)
+
+
 def shell_words(line: str) -> list[str]:
-    """Words of a command line: quotes group, a backslash outside quotes takes the next character as it is."""
-    words, word, quote, started, literal = [], "", "", False, False
-    for c in line:
-        if literal:
-            word, literal = word + c, False
-        elif quote:
-            if c == quote:
-                quote = ""
-            else:
-                word += c
-        elif c == "\\":
-            literal = started = True
-        elif c in "\"'":
-            quote, started = c, True
-        elif c in " \t":
-            if started or word:
-                words.append(word)
-            word, started = "", False
-        else:
-            word += c
-    if started or word:
-        words.append(word)
-    return words
+    """Words of a command line: double quotes group, a backslash outside them takes the next character as it is; empty words vanish."""
+    words = ("".join(a or b or c for a, b, c in _PART.findall(w)) for w in _WORD.findall(line))
+    return [w for w in words if w]

@@ -4,20 +4,14 @@ from __future__ import annotations
 
 import math
 import struct
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalar import fnv64, mixed
 from ..session import checkpoint
 
-# Offset basis and prime of FNV-1a, 64 bits; multiplier of the second hash.
-_BASIS, _PRIME, _MIX = 14695981039346656037, 1099511628211, 0xBF58476D1CE4E5B9
-_MASK = (1 << 64) - 1
-
-
 def bloom_size(n: int, p: float) -> tuple[int, int]:
     """Bits and number of hashes for n keys at false-positive rate p; odd arguments fall back to 1000 and 0.01."""
     n = n if n > 0 else 1000
@@ -40,37 +34,43 @@ def _positions(h1: np.ndarray, h2: np.ndarray, m: int, k: int) -> np.ndarray:
     return ((h1[:, None] + steps * h2[:, None]) % np.uint64(m)).astype(np.int64)
 
 
-def build_shards(keys: DataFrame, key: str, shard_keys: int = 1_000_000, p: float = 0.01) -> tuple[DataFrame, int, int, int]:
+def sized(stored: int, asked: int = 0, shard_keys: int = 1 << 14, p: float = 0.01) -> tuple[int, int, int]:
+    """Bits of the shard number, bits of a shard's array, and hashes: the larger side sets the number of shards."""
+    shard_bits = max(0, math.ceil(math.log2(max(1, stored, asked) / shard_keys)))
+    return shard_bits, *bloom_size(math.ceil(stored / (1 << shard_bits) * 1.02) + 1, p)
+
+
+def build_shards(keys: DataFrame, key: str, asked: int = 0, shard_keys: int = 1 << 14, p: float = 0.01) -> tuple[DataFrame, int, int, int]:
     """A filter cut into shards by hash: (shard, bits). Each has its own bit array, sized for its keys.
 
-    Two independent 64-bit hashes are taken on the JVM side; the shard is chosen by a third. Distinct keys
-    are formed first, so repeated keys don't weigh on a shard. Null keys are left out.
+    Two independent 64-bit hashes are taken on the JVM side; the leading bits of the first are the shard.
+    Distinct hashes are formed first, so repeated keys don't weigh on a shard. Null keys are left out.
     """
-    distinct = checkpoint(keys.filter(F.col(key).isNotNull()).select(F.col(key).alias("k")).distinct(), "keys")
-    n = distinct.count()
-    shards = max(1, math.ceil(n / shard_keys))
-    m, hashes = bloom_size(math.ceil(n / shards * 1.02) + 1, p)
+    distinct = checkpoint(_hashed(keys.filter(F.col(key).isNotNull()), key).select("h1", "h2").distinct(), "keys")
+    shard_bits, m, hashes = sized(distinct.count(), asked, shard_keys, p)
 
     def one(t: pa.Table) -> pa.Table:
         bits = np.zeros(m, bool)
-        at = _positions(t["h1"].to_numpy().view(np.uint64), t["h2"].to_numpy().view(np.uint64), m, hashes)
-        bits[at.ravel()] = True
+        bits[_positions(t["h1"].to_numpy().view(np.uint64), t["h2"].to_numpy().view(np.uint64), m, hashes).ravel()] = True
         return pa.table({"shard": [t["shard"][0].as_py()], "bits": [np.packbits(bits).tobytes()]}, schema=_SHARD)
 
-    return _hashed(distinct, "k", shards).groupBy("shard").applyInArrow(one, "shard int, bits binary"), shards, m, hashes
+    return distinct.withColumn("shard", _shard(shard_bits)).groupBy("shard").applyInArrow(one, "shard long, bits binary"), shard_bits, m, hashes
+
+
+_SHARD = pa.schema([("shard", pa.int64()), ("bits", pa.binary())])
 
 
-_SHARD = pa.schema([("shard", pa.int32()), ("bits", pa.binary())])
+def _hashed(df: DataFrame, key: str) -> DataFrame:
+    return df.select(F.col(key).alias("k"), F.xxhash64(key).alias("h1"), F.xxhash64(F.col(key), F.lit(1)).bitwiseOR(F.lit(1)).alias("h2"))
 
 
-def _hashed(df: DataFrame, key: str, shards: int) -> DataFrame:
-    c = F.col(key)
-    return df.select(c, F.xxhash64(c).alias("h1"), F.xxhash64(c, F.lit(1)).bitwiseOR(F.lit(1)).alias("h2"), F.pmod(F.hash(c), F.lit(shards)).alias("shard"))
+def _shard(bits: int) -> Column:
+    return F.shiftrightunsigned("h1", 64 - bits) if bits else F.lit(0).cast("long")
 
 
-def might_contain(keys: DataFrame, key: str, shards: DataFrame, n_shards: int, m: int, hashes: int) -> DataFrame:
+def might_contain(keys: DataFrame, key: str, shards: DataFrame, shard_bits: int, m: int, hashes: int) -> DataFrame:
     """Of the distinct keys those the filter can't rule out; never one less than it holds."""
-    wanted = _hashed(keys.filter(F.col(key).isNotNull()).select(key).distinct(), key, n_shards).withColumnRenamed(key, "k")
+    wanted = _hashed(keys.filter(F.col(key).isNotNull()).select(key).distinct(), key).withColumn("shard", _shard(shard_bits))
 
     def one(left: pa.Table, right: pa.Table) -> pa.Table:
         if not len(left) or not len(right):
@@ -82,45 +82,32 @@ def might_contain(keys: DataFrame, key: str, shards: DataFrame, n_shards: int, m
     return wanted.groupBy("shard").cogroup(shards.groupBy("shard")).applyInArrow(one, "k string").withColumnRenamed("k", key)
 
 
-# -- the store's own filter format, for reading its files ----------------------------------------------
-
-
-def fnv_pair(key: bytes) -> tuple[int, int]:
-    """FNV-1a hash of a key, and a second one: the first folded, multiplied and folded again."""
-    first = _BASIS
-    for b in key:
-        first = (first ^ b) * _PRIME & _MASK
-    second = (first ^ first >> 17) * _MIX & _MASK
-    return first, second ^ second >> 31
-
-
-def read_words(blob: bytes) -> tuple[list[int], int, int]:
-    """Words, bits and hashes of an encoded filter: bits (8 bytes), hashes (4), words of 8, low byte first."""
-    m, k = struct.unpack_from("<QI", blob)
-    if not 0 < k <= 100:
-        raise ValueError("not a filter: number of hashes")
-    words = [w for (w,) in struct.iter_unpack("<Q", blob[12:12 + (len(blob) - 12) // 8 * 8])]
-    if not words:
-        raise ValueError("not a filter: no bits")
-    return words, min(m, 64 * len(words)), k
-
-
-def fill_words(keys: list[bytes], m: int, k: int) -> list[int]:
-    """Words of a filter of these keys."""
-    words = [0] * -(-m // 64)
-    for key in keys:
-        a, b = fnv_pair(key)
-        for i in range(k):
-            at = (a + i * b & _MASK) % m
-            words[at >> 6] |= 1 << (at & 63)
-    return words
-
-
-def probe_words(words: Iterator[int], keys: list[bytes], m: int, k: int) -> list[bool]:
-    """Membership in a filter given as 64-bit words."""
-    array = list(words)
-    out = []
-    for key in keys:
-        a, b = fnv_pair(key)
-        out.append(all(array[at >> 6] >> (at & 63) & 1 for at in ((a + i * b & _MASK) % m for i in range(k))))
-    return out
+class StoredFilter:
+    """The filter in the store's own files: bits (8 bytes), hashes (4), then the bit array, all low byte first."""
+
+    def __init__(self, bits: np.ndarray, m: int, hashes: int):
+        self.bits, self.m, self.hashes = bits, m, hashes
+
+    @classmethod
+    def of(cls, keys: list[bytes], m: int, hashes: int) -> StoredFilter:
+        self = cls(np.zeros(-(-m // 64) * 64, bool), m, hashes)
+        self.bits[self._places(keys).ravel()] = True
+        return self
+
+    @classmethod
+    def read(cls, blob: bytes) -> StoredFilter:
+        m, hashes = struct.unpack_from("<QI", blob)
+        body = np.frombuffer(blob, np.uint8, (len(blob) - 12) // 8 * 8, 12)
+        if not 0 < hashes <= 100 or not len(body):
+            raise ValueError("not a filter")
+        return cls(np.unpackbits(body, bitorder="little").astype(bool), min(m, 8 * len(body)), hashes)
+
+    def dump(self) -> bytes:
+        return struct.pack("<QI", self.m, self.hashes) + np.packbits(self.bits, bitorder="little").tobytes()
+
+    def _places(self, keys: list[bytes]) -> np.ndarray:
+        first = fnv64(keys)
+        return _positions(first, mixed(first), self.m, self.hashes)
+
+    def may_hold(self, keys: list[bytes]) -> np.ndarray:
+        return self.bits[self._places(keys)].all(axis=1)

@@ -106,3 +106,70 @@ def exists_count(log: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame
     """One row: how many of the listed keys (repeats counted) are present."""
     wanted = keys.filter(F.col(key) != "").groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("times"))
     return wanted.join(live(log).select("key"), "key").agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"))
+
+
+def sync(log: DataFrame, version: int, tombstones: bool = False) -> DataFrame:
+    """Rows with a version strictly greater, on request deleted ones too, and ``upto``: the highest version there is, from which to go on."""
+    state = latest(log)
+    rows = state.filter(F.col("ver") > version)
+    return (rows if tombstones else rows.filter(~F.col("tombstone"))).withColumn("upto", state.agg(F.max("ver")).scalar())
+
+
+def dump(log: DataFrame, key: str) -> DataFrame:
+    """The newest row of a key as it is stored, a tombstone too, with ``found``: whether a read would see it."""
+    return latest(log.filter(F.col("key") == key)).withColumn("found", ~F.col("tombstone"))
+
+
+def scan_then_get(log: DataFrame, prefix: str) -> DataFrame:
+    """Late materialisation: the keys under a prefix first, then their rows."""
+    return multi_get(log, scan(log, prefix, order=False).select("key"))
+
+
+class Cursor:
+    """A cursor over one snapshot in key order: it stands before the first row at first.
+
+    The snapshot is written once, ranked and cut by ranges of keys; a move is a read of one row by position
+    or key, which file statistics narrow to a row group. Moves give whether the cursor stands on a row.
+    """
+
+    def __init__(self, rows: DataFrame):
+        self.rows = checkpoint(global_rank(rows, [F.col("key")], "__at").sortWithinPartitions("__at"), "cursor")
+        self.total, self.pos, self.entry = self.rows.count(), -1, None
+
+    def _go(self, pos: int) -> bool:
+        self.pos = max(-1, min(pos, self.total))
+        got = self.rows.filter(F.col("__at") == self.pos).drop("__at").first() if 0 <= self.pos < self.total else None
+        self.entry = got.asDict() if got else None
+        return self.valid
+
+    @property
+    def valid(self) -> bool:
+        return self.entry is not None
+
+    @property
+    def key(self) -> str | None:
+        return self.entry["key"] if self.entry else None
+
+    @property
+    def value(self):
+        return self.entry["value"] if self.entry else None
+
+    def first(self) -> bool:
+        return self._go(0)
+
+    def last(self) -> bool:
+        return self._go(self.total - 1)
+
+    def next(self) -> bool:
+        return self._go(self.pos + 1)
+
+    def prev(self) -> bool:
+        return self._go(self.pos - 1)
+
+    def seek(self, key: str) -> bool:
+        """To the first row at or after a key."""
+        at = self.rows.filter(F.col("key") >= key).agg(F.min("__at")).first()[0]
+        return self._go(self.total if at is None else at)
+
+    def close(self) -> None:
+        self.total, self.pos, self.entry = 0, -1, None

@@ -68,6 +68,43 @@ def load_phase(spark: SparkSession, n: int, value_bytes: int = 100, batch: int =
     return spark.range(n).select(key_name(F.col("id")).alias("key"), F.rpad(F.lit(""), value_bytes, "x").alias("value"), F.floor(F.col("id") / batch).alias("batch"))
 
 
+def bulk_keys(spark: SparkSession, clients: int, batches: int, size: int) -> DataFrame:
+    """The keys a bulk loader writes: client, batch, key."""
+    i = F.col("id")
+    rows = spark.range(clients * batches * size).select(F.floor(i / (batches * size)).alias("client"), (F.floor(i / size) % batches).alias("batch"), (i % size).alias("k"))
+    return rows.select("client", "batch", F.format_string("bulk:%02d:%02d:%03d", "client", "batch", "k").alias("key"))
+
+
+def trickle(spark: SparkSession, per_second: int = 1, keys: int = 1000, form: str = "user%010d") -> DataFrame:
+    """An endless stream of small writes: key, value, ts; keys come round in turn."""
+    rate = spark.readStream.format("rate").option("rowsPerSecond", per_second).load()
+    return rate.select(key_name(F.col("value") % keys, form).alias("key"), F.col("value").cast("string").alias("value"), F.col("timestamp").alias("ts"))
+
+
+def go_zipf(u: Column, n: int, s: float = 1.01, v: float = 1.0, exact: int = 4096) -> Column:
+    """Ranks from 0 to n - 1 with probability as 1/(v + rank)^s, out of uniform numbers: the first ``exact`` ranks by their
+    summed weights, those beyond by inverting the integral that continues the sum."""
+    head = [(v + i) ** -s for i in range(min(n, exact))]
+    tail = lambda x: (v + x) ** (1 - s) / (1 - s)
+    rest = tail(n - 0.5) - tail(len(head) - 0.5) if n > len(head) else 0.0
+    total, sums, upto = math.fsum(head) + rest, [], 0.0
+    for w in head:
+        upto += w
+        sums.append(upto / total)
+    known = F.array(*[F.lit(x) for x in sums])
+    # the number of sums at or below u, by halving
+    steps = max(1, len(sums).bit_length())
+    at = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), F.struct(F.lit(0).alias("lo"), F.lit(len(sums)).alias("hi")), lambda a, _: _halve(a, known, u))["lo"]
+    beyond = F.floor(F.pow((u * total - upto + tail(len(head) - 0.5)) * (1 - s), F.lit(1 / (1 - s))) - v + 0.5)
+    return F.when(at < len(sums), at).otherwise(F.least(F.greatest(beyond, F.lit(len(sums) - (n <= len(sums)))), F.lit(n - 1))).cast("long")
+
+
+def _halve(a: Column, known: Column, u: Column) -> Column:
+    mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+    right = (a["lo"] < a["hi"]) & (F.get(known, mid) <= u)
+    return F.struct(F.when(right, mid + 1).otherwise(a["lo"]).alias("lo"), F.when(right | (a["lo"] >= a["hi"]), a["hi"]).otherwise(mid).alias("hi"))
+
+
 def operations(spark: SparkSession, workload: str, n: int, records: int, seed: int = 42, mixes: dict = MIXES) -> DataFrame:
     """``n`` operations of a workload over ``records`` keys: seq, op, key. The same seed gives the same rows.
 

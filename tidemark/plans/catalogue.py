@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import metrics, placement, problems, store
+from . import metrics, placement, problems, store, upkeep
 
-_MODULES = (problems, store, placement, metrics)
+_MODULES = (problems, store, upkeep, placement, metrics)
 
 
 def queries() -> dict:

@@ -92,7 +92,7 @@ def kv_validate_status(spark, d):
 
 
 def kv_rmw(spark, d):
-    return maintain.read_modify_write(_wal(spark, d), table(spark, d, "kv_request"), lambda v: F.concat(v, F.lit("x")))
+    return maintain.read_modify_write(_wal(spark, d), table(spark, d, "kv_request"), lambda v: F.concat(v, F.lit("x"))).select("key", "value", "ver")
 
 
 def kv_append_puts(spark, d):
@@ -165,7 +165,7 @@ def scalar_functions(spark, d):
 
 
 def scalar_fnv64(spark, d):
-    return table(spark, d, "replica_log").select("key").distinct().select("key", scalar.fnv1a_64(F.col("key")).alias("fnv64"))
+    return table(spark, d, "replica_log").select("key").distinct().select("key", scalar.fnv1a_64(F.col("key")).alias("fnv64"), scalar.fnv1a_64_second(F.col("key")).alias("second"))
 
 
 def scalar_hosts(spark, d):
@@ -287,7 +287,7 @@ SQL = {
     "kv_delete_many": _with("SELECT existed, count(*) AS n FROM (SELECT k.key, l.key IS NOT NULL AS existed FROM (SELECT DISTINCT key FROM kv_request WHERE key <> '') k LEFT JOIN live l ON k.key = l.key) GROUP BY existed"),
     "kv_validate_status": """SELECT CASE WHEN key IS NULL OR key = '' THEN 'empty_key' WHEN octet_length(encode(key)) > 1024 THEN 'key_too_long'
   WHEN octet_length(encode(value)) > 1048576 THEN 'value_too_large' ELSE 'ok' END AS status, count(*) AS n FROM wal_record GROUP BY 1""",
-    "kv_rmw": _with("SELECT key, value || 'x' AS value, ver + 1 AS ver FROM live WHERE key IN (SELECT key FROM kv_request WHERE key <> '')"),
+    "kv_rmw": _with("SELECT key, value || 'x' AS value, (SELECT max(ver) FROM wal_record) + row_number() OVER (ORDER BY key) AS ver FROM live WHERE key IN (SELECT key FROM kv_request WHERE key <> '')"),
     "kv_append_puts": _with("SELECT count(*) AS n, CAST(1 AS BIGINT) AS first, count(*) AS last FROM (SELECT DISTINCT key, value, ts FROM changes WHERE op = 'PUT')"),
     "kv_coalesce_batch": _with(f"""SELECT batch, key, ver, ts, op FROM (SELECT *, row_number() OVER (PARTITION BY batch, key ORDER BY lsn DESC, ver DESC, ts DESC, op DESC) AS rn
   FROM (SELECT *, lsn // {BATCH} AS batch FROM changes)) WHERE rn = 1"""),
@@ -304,6 +304,10 @@ SELECT key, {CRC} AS crc, list_reduce(list_prepend(CAST(2166136261 AS BIGINT), {
   CAST(list_sum(list_transform(range(1, length(h) // 2 + 1), lambda j: j * CAST('0x' || substr(h, 2 * j - 1, 2) AS BIGINT))) AS BIGINT) AS bytesum,
   CASE WHEN length(key) > 8 THEN substr(key, 1, 5) || '...' ELSE key END AS short,
   CASE WHEN length(h) // 2 * 1000 >= 1024 THEN printf('%.2f KB', length(h) // 2 * 1000 / 1024.0) ELSE printf('%d B', length(h) // 2 * 1000) END AS size FROM k, crc_table""",
+    "scalar_fnv64": f"""WITH k AS (SELECT DISTINCT key, hex(encode(key)) AS h FROM replica_log), a AS (SELECT key, list_reduce(list_prepend(CAST('{scalar.FNV64[0]}' AS UHUGEINT),
+  list_transform({BYTES}, lambda b: CAST(b AS UHUGEINT))), lambda x, b: (xor(x, b) * CAST('{scalar.FNV64[1]}' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT)) AS f FROM k),
+m AS (SELECT key, f, (xor(f, f // 131072) * CAST('{scalar.MIX}' AS UHUGEINT)) % CAST('18446744073709551616' AS UHUGEINT) AS s FROM a)
+SELECT key, CAST(f AS VARCHAR) AS fnv64, CAST(xor(s, s // 2147483648) AS VARCHAR) AS second FROM m""",
     "scalar_hosts": "SELECT node, address, regexp_extract(address, '^(?:[a-z]+://)?([^:/]*)', 1) AS host FROM cluster_member",
     "quorum_validate": """SELECT n, w, r, CASE WHEN n <= 0 OR w <= 0 OR r <= 0 OR w > n OR r > n THEN 'invalid_quorum' WHEN w + r <= n THEN 'no_overlap' ELSE 'ok' END AS status
   FROM range(5) a(n), range(5) b(w), range(5) c(r)""",

@@ -12,7 +12,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.bloom import StoredFilter, bloom_size
 from ..operators.changes import DEL, PUT, op_name
+from ..session import create_file, file_system, names_in, read_file, remove
 
 LOG_SCHEMA = "path string, op string, key string, value binary, ver long, ts long, vc map<string,bigint>"
 RUN_SCHEMA = "path string, level int, run_id long, key string, value binary, version long, ts_ns long, tombstone boolean, vc map<string,bigint>"
@@ -114,6 +116,86 @@ def to_legacy_lines(log: DataFrame) -> DataFrame:
     return log.select(F.to_json(F.struct(op_name(F.col("op")).alias("op"), "key", "value", "ver", "ts")).alias("value"))
 
 
+def write_log(rows: DataFrame, path: str, per_file: int = 100_000, noise: bytes = b"") -> DataFrame:
+    """Rows (op, key, value bytes, ver, ts, vc) as log segments of at most ``per_file`` records: file, records, bytes.
+
+    Segments are named by partition and number, so a task that runs again writes the same files. ``noise`` is
+    put between the records (for tests of salvage). JSON lines become segments by way of ``read_legacy_log``;
+    nothing is merged on the way.
+    """
+    from pyspark import TaskContext
+
+    where = _address(rows.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, n, held = TaskContext.get().partitionId(), 0, []
+
+        def flush(records: list[bytes]) -> pa.RecordBatch:
+            name, data = f"{where}/segment-{part:05d}-{n:05d}.wal", noise.join(records)
+            _store(name, data)
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(records)], pa.int64()), pa.array([len(data)], pa.int64())], ["file", "records", "bytes"])
+
+        for b in batches:
+            for op, key, value, ver, ts, vc in zip(*(c.to_pylist() for c in b.columns)):
+                held.append(encode_record(op, key, value or b"", ver, ts, dict(vc) if vc is not None else None))
+                if len(held) == per_file:
+                    yield flush(held)
+                    n, held = n + 1, []
+        if held:
+            yield flush(held)
+
+    return rows.select("op", "key", "value", "ver", "ts", "vc").mapInArrow(run, "file string, records long, bytes long")
+
+
+def _address(spark: SparkSession, path: str) -> str:
+    """A path as an address that pyarrow opens too."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = at.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(at).toString()
+    return "file:///" + full[6:].lstrip("/") if full.startswith("file:/") else full
+
+
+def _store(address: str, data: bytes) -> None:
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(address)
+    system.create_dir(at.rsplit("/", 1)[0])
+    with system.open_output_stream(at) as out:
+        out.write(data)
+
+
+def log_size(spark: SparkSession, path: str) -> DataFrame:
+    """One row: files and bytes of a log, from the listing alone; its records are ``read_log(...).count()``."""
+    return spark.read.format("binaryFile").load(path).select("length").agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def reset_log(spark: SparkSession, path: str) -> None:
+    """An empty log in place of what is there."""
+    remove(spark, path)
+    fs, at = file_system(spark, path)
+    fs.mkdirs(at)
+
+
+class LogMark:
+    """The position up to which a log has been taken over: saved as numbered files, of which the newest holds."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def load(self) -> int | None:
+        names = names_in(self.spark, self.path)
+        return int(read_file(self.spark, f"{self.path}/{names[-1]}")) if names else None
+
+    def save(self, position: int) -> None:
+        names = names_in(self.spark, self.path)
+        if not create_file(self.spark, f"{self.path}/{int(names[-1]) + 1 if names else 1:010d}", str(position).encode()):
+            raise RuntimeError("another writer has saved a position")
+
+    def truncate(self, log: DataFrame, position: str) -> DataFrame:
+        """The log without what lies before the mark; rows without a position stay."""
+        at = self.load()
+        return log if at is None else log.filter((F.col(position) >= at) | F.col(position).isNull())
+
+
 # -- runs ------------------------------------------------------------------------------------------------
 def _row(data: bytes) -> tuple | None:
     """key, value, version, ns, tombstone, clock out of a run's row."""
@@ -135,11 +217,52 @@ def _row(data: bytes) -> tuple | None:
     return data[5:5 + n].decode(), value, ver, ts, dead == 1, clock
 
 
-def read_runs(spark: SparkSession, path: str) -> DataFrame:
+def encode_run(rows: list[tuple], rate: float = 0.01) -> bytes:
+    """A run file of rows (key, value, version, ns, tombstone, clock) in key order: rows, packed where that is shorter; index; filter; footer."""
+    import zstandard
+
+    squeeze, data, index = zstandard.ZstdCompressor(), bytearray(), []
+    for key, value, ver, ts, dead, vc in rows:
+        k, clock = key.encode(), b""
+        if vc:
+            clock = struct.pack("<I", len(vc)) + b"".join(struct.pack("<H", len(n.encode())) + n.encode() + struct.pack("<Q", c) for n, c in vc.items())
+        body = bytes([_ROW]) + struct.pack("<I", len(k)) + k + struct.pack("<I", len(value)) + value + _TAIL.pack(ver, ts, int(dead), len(clock)) + clock
+        packed = squeeze.compress(body)
+        if use := len(packed) < len(body):
+            body = packed
+        index.append({"k": key, "o": len(data), "s": len(body) + 4, "c": use, "b": True})
+        data += struct.pack("<I", len(body)) + body
+    text = json.dumps(index).encode()
+    sieve = StoredFilter.of([r[0].encode() for r in rows], *bloom_size(len(rows), rate)).dump()
+    at = len(data)
+    return bytes(data) + text + sieve + struct.pack("<4Q", at, len(text), at + len(text), len(sieve))
+
+
+def write_run_files(rows: DataFrame, path: str, level: int, run_id: int) -> DataFrame:
+    """Rows (key, value bytes, version, ts_ns, tombstone, vc) as run files, one for each range of keys: file, rows."""
+    from pyspark import TaskContext
+
+    where = _address(rows.sparkSession, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]  # a run file is one value in memory when it is read, too
+        if held:
+            name = f"{where}/L{level}_{run_id + TaskContext.get().partitionId()}.sst"
+            _store(name, encode_run([(k, v or b"", *rest[:3], dict(rest[3]) if rest[3] else None) for k, v, *rest in held]))
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(held)], pa.int64())], ["file", "rows"])
+
+    cut = rows.select("key", "value", "version", "ts_ns", "tombstone", "vc").repartitionByRange("key").sortWithinPartitions("key")
+    return cut.mapInArrow(run, "file string, rows long")
+
+
+def read_runs(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
     """Rows of run files (``L<level>_<nanos>.sst``): footer, JSON index, then each row, unpacked if packed.
 
-    Unreadable rows are skipped. Level and run id come from the file's name.
+    Unreadable rows are skipped. Level and run id come from the file's name. With ``keys`` only these are
+    unpacked, and none of a file whose filter rules them out.
     """
+    wanted = None if keys is None else frozenset(keys)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
@@ -149,9 +272,13 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                 named = re.search(r"L(\d+)_(\d+)\.sst$", name)
                 if len(data) < 32:
                     continue
-                at, size, _, _ = struct.unpack("<4Q", data[-32:])
+                at, size, sieve, length = struct.unpack("<4Q", data[-32:])
+                if wanted is not None and length and not StoredFilter.read(data[sieve:sieve + length]).may_hold([k.encode() for k in wanted]).any():
+                    continue
                 rows = []
                 for entry in json.loads(data[at:at + size]):
+                    if wanted is not None and entry.get("k") not in wanted:
+                        continue
                     try:
                         body = data[entry["o"] + 4:entry["o"] + entry["s"]]
                         got = _row(unzip.decompress(body, max_output_size=64 << 20) if entry.get("c") else body)
@@ -201,6 +328,21 @@ def export_json(live: DataFrame, rows: int = 10_000) -> DataFrame:
     return ranked.groupBy(F.floor(F.col("pos") / rows).alias("block")).agg(F.to_json(pairs).alias("json"))
 
 
+def export_document(live: DataFrame) -> DataFrame:
+    """All visible rows as the lines of one indented JSON object in key order: ``pos`` and ``line``, to be written in order.
+
+    No value holds more than a row; the braces are the lines before the first and after the last.
+    """
+    from ..operators.snapshot import global_rank
+
+    ranked = global_rank(live.select("key", "value"), [F.col("key")], "pos", "total")
+    text = lambda c: F.regexp_extract(F.to_json(F.struct(F.col(c).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    entry = F.concat(F.lit("  "), text("key"), F.lit(": "), F.when(F.col("value").isNull(), "null").otherwise(text("value")), F.when(F.col("pos") < F.col("total") - 1, ",").otherwise(""))
+    edges = live.sparkSession.createDataFrame([("{",), ("}",)], "line string")
+    ends = edges.select(F.when(F.col("line") == "{", -1).otherwise(F.lit(1 << 62)).cast("long").alias("pos"), "line")
+    return ranked.select("pos", entry.alias("line")).unionByName(ends)
+
+
 def parse_metrics(df: DataFrame, line: str = "value") -> DataFrame:
     """Samples of a metrics text: name, labels (text within braces), value; comments, NaN and non-numbers are dropped."""
     words = F.split(F.trim(F.col(line)), r"\s+(?=\S+$)")

@@ -2,29 +2,62 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .skew import blocked_lag, compress, nearest_rank, weighted_percentiles
+from ..session import checkpoint
+from .skew import blocked_lag, compress, floor_rank, nearest_rank, weighted_percentiles
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99, "p999": 0.999}
 
 
-def latency_summary(samples: DataFrame, by: str, ms: str, ok: str, rank=nearest_rank, width: float = 1.0) -> DataFrame:
+def latency_summary(samples: DataFrame, by: str, ms: str, ok: str, rank=nearest_rank) -> DataFrame:
     """Per class: operations, errors, mean, least, most and percentiles of the latency, exact.
 
-    ``width`` cuts the values into the blocks in which running sums are formed. Null latencies count as
+    Running sums are formed in blocks of values that are equal in their leading 14 bits (sign, exponent, two
+    of the fraction) and as many more as are needed for 2^16 distinct values a block at most: the distinct
+    values of a class and block are counted, so no block grows with the data. Null latencies count as
     operations and are left out of the figures.
     """
     base = samples.groupBy(by).agg(
         F.count(F.lit(1)).alias("ops"), F.count_if(~F.col(ok)).alias("errors"),
         F.avg(ms).alias("avg_ms"), F.min(ms).alias("min_ms"), F.max(ms).alias("max_ms"),
     )
-    found = weighted_percentiles(compress(samples, [by], ms), [by], ms, PERCENTILES, F.floor(F.col(ms) / width), rank=rank)
+    weights = checkpoint(compress(samples, [by], ms), "weights")
+    found = weighted_percentiles(weights, [by], ms, PERCENTILES, _value_block(weights, [by], ms), rank=rank)
     joined = base.alias("l").join(found.alias("r"), F.col(f"l.{by}").eqNullSafe(F.col(f"r.{by}")), "left")
     return joined.select("l.*", *[f"r.{p}" for p in PERCENTILES])
 
 
+def _value_block(weights: DataFrame, by: list[str], value: str, most: int = 1 << 16) -> Column:
+    """A monotone function of a numeric value whose blocks hold at most ``most`` distinct values of a class.
+
+    Doubles are mapped to integers in their order and cut after a number of leading bits. Classes hold each
+    value once, so the largest block tells how many bits more are needed; with all bits a block is one value.
+    """
+    number = F.col(value).cast("double") + F.lit(0.0)  # -0.0 becomes 0.0
+    bits = _ordered_bits(number)
+    kept = 14
+    while kept < 64:
+        top = weights.filter(F.col(value).isNotNull()).groupBy(*by, F.shiftright(bits, 64 - kept)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if top <= most:
+            break
+        kept = min(64, kept + max(1, math.ceil(math.log2(top / most))))
+    return F.shiftright(bits, 64 - kept) if kept < 64 else bits
+
+
+def _ordered_bits(number: Column) -> Column:
+    """The place of a double among all doubles as BIGINT, by its parts: exponent and fraction, negated below zero."""
+    size = F.abs(number)
+    power = F.when(size > 0, F.floor(F.least(F.greatest(F.log2(size), F.lit(-1022.0)), F.lit(1024.0)))).otherwise(F.lit(-1023)).cast("long")
+    # log2 may be off by one at powers of two; the scaled fraction is clipped, which keeps the order
+    part = F.when(size > 0, F.least(F.greatest(size / F.pow(F.lit(2.0), power.cast("double")) - 1, F.lit(0.0)), F.lit(1 - 2.0**-52))).otherwise(F.lit(0.0))
+    place = (power + 1023) * F.lit(1 << 52) + F.floor(part * F.lit(float(1 << 52))).cast("long")
+    return F.when(number < 0, -place).otherwise(place)
+
+
 def adaptive_timeout(samples: DataFrame, node: str, order: str, ms: str, window: int = 100, percentile: float = 0.95, factor: float = 2.0, low: int = 50, high: int = 5000, default: int = 500, least: int = 3) -> DataFrame:
     """Per node the timeout from its last ``window`` latencies: percentile times factor, clamped; a default for fewer than ``least``.
 
@@ -110,11 +143,15 @@ def scrapes(requests: DataFrame, ts: str, series: list[str], seconds: int = 5, o
     return requests.filter(F.col(ts).isNotNull()).groupBy(*series, step.alias("t")).agg(F.count(F.lit(1)).alias("n"), bad.alias("errors"))
 
 
-def counter_rate(counters: DataFrame, series: list[str], t: str, value: str, seconds: float = 5.0, block_s: int = 86_400) -> DataFrame:
-    """Increase per second against the scrape before: a falling counter was reset and gives 0; the first scrape gives 0."""
+def counter_rate(counters: DataFrame, series: list[str], t: str, value: str, seconds: float = 5.0, block_s: int = 86_400, raw_after_reset: bool = False) -> DataFrame:
+    """Increase per second against the scrape before; the first scrape gives 0.
+
+    A falling counter was reset: it gives 0, or with ``raw_after_reset`` what it has counted since.
+    """
     lagged = blocked_lag(counters, series, t, value, F.floor(F.col(t) / block_s), "__prev")
     change = F.col(value) - F.coalesce("__prev", F.col(value))
-    return lagged.select(*series, t, (F.greatest(change, F.lit(0)) / seconds).alias("rate"))
+    grown = F.when(change < 0, F.col(value)).otherwise(change) if raw_after_reset else F.greatest(change, F.lit(0))
+    return lagged.select(*series, t, (grown / seconds).alias("rate"))
 
 
 def rolling_sum(points: DataFrame, series: list[str], t: str, values: list[str], seconds: int) -> DataFrame:
@@ -133,12 +170,13 @@ def rolling_sum(points: DataFrame, series: list[str], t: str, values: list[str],
 def alert_hold(points: DataFrame, series: list[str], t: str, condition: Column, hold: int) -> DataFrame:
     """Points at which a condition has held for ``hold`` seconds without a break, points being integer times.
 
-    A point fires if no point within (t - hold, t] fails and the series has one at or before t - hold.
+    A point fires if no point within (t - hold, t] fails and the series has one at or before t - hold. The
+    marked points are written once, as they are read for the windows and for the starts of the series.
     """
-    marked = points.select(*series, t, F.when(condition, F.lit(0)).otherwise(F.lit(1)).alias("__bad"))
+    marked = checkpoint(points.select(*series, t, F.when(condition, F.lit(0)).otherwise(F.lit(1)).alias("__bad")), "marked")
     rolled = rolling_sum(marked, series, t, ["__bad"], hold + 1)
     firsts = F.min(t).alias("__first")
-    joined = rolled.join(points.groupBy(*series).agg(firsts), series) if series else rolled.withColumn("__first", points.agg(firsts).scalar())
+    joined = rolled.join(marked.groupBy(*series).agg(firsts), series) if series else rolled.withColumn("__first", marked.agg(firsts).scalar())
     return joined.select(*series, t, ((F.col("__bad_sum") == 0) & (F.col(t) - F.col("__first") >= hold)).alias("firing"))
 
 
@@ -151,3 +189,13 @@ def error_ratio(counters: DataFrame) -> DataFrame:
     """One row: errors over all requests (0 without requests), from counters by operation and status."""
     bad, every = F.sum(F.when(F.col("status") == "error", F.col("n"))), F.sum("n")
     return counters.agg(F.coalesce(bad, F.lit(0)).alias("errors"), F.coalesce(every, F.lit(0)).alias("requests"), F.coalesce(bad / every, F.lit(0.0)).alias("ratio"))
+
+
+def phase_timings(samples: DataFrame, phase: str, ns: str) -> DataFrame:
+    """Timings by phase: count, mean, largest, and percentiles by the floored index, in nanoseconds. Null times are left out."""
+    known = samples.filter(F.col(ns).isNotNull())
+    base = known.groupBy(phase).agg(F.count(F.lit(1)).alias("n"), F.avg(ns).alias("mean_ns"), F.max(ns).alias("max_ns"))
+    weights = checkpoint(compress(known, [phase], ns), "weights")
+    found = weighted_percentiles(weights, [phase], ns, {"p50": 0.5, "p95": 0.95, "p99": 0.99}, _value_block(weights, [phase], ns), rank=floor_rank)
+    joined = base.alias("l").join(found.alias("r"), F.col(f"l.{phase}").eqNullSafe(F.col(f"r.{phase}")))
+    return joined.select("l.*", "r.p50", "r.p95", "r.p99")

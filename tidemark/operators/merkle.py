@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.scalar import byte_sum
+from ..session import checkpoint
 from .snapshot import global_rank
 
 LEAF_KEYS, BUCKETS = 4, 1024
@@ -77,8 +79,6 @@ def levels_up(leaf: DataFrame, n: int) -> DataFrame:
 
 def root(rows: DataFrame, key: str = "key", value: str = "value") -> DataFrame:
     """One row with the root hash; of no keys the hash of nothing."""
-    from ..session import checkpoint
-
     leaf = checkpoint(leaves(rows, key, value), "leaves")
     n = leaf.agg(F.max("n")).first()[0] or 0
     return levels_up(leaf, n)
@@ -125,3 +125,52 @@ def bucket_root(spark: SparkSession, buckets: DataFrame) -> DataFrame:
     listed = F.transform(F.array_sort(F.collect_list(F.struct("bucket", "hash"))), lambda x: x["hash"])
     fold = F.aggregate("hs", F.lit(""), lambda a, x: F.sha2(F.unhex(F.concat(a, x)), 256))
     return buckets.agg(listed.alias("hs")).select(fold.alias("hash"))
+
+
+def paths(leaf: DataFrame) -> DataFrame:
+    """Leaves with ``path``: 1 and then a bit for each turn from the root, 0 for left."""
+    start = F.struct(F.lit(0).cast("long").alias("lo"), F.col("n").cast("long").alias("hi"), F.lit(1).cast("long").alias("path"))
+
+    def turn(s, _):
+        mid = s["lo"] + F.floor((s["hi"] - s["lo"]) / 2)
+        left = F.col("lo") < mid
+        down = F.struct(F.when(left, s["lo"]).otherwise(mid).alias("lo"), F.when(left, mid).otherwise(s["hi"]).alias("hi"), (s["path"] * 2 + F.when(left, 0).otherwise(1)).alias("path"))
+        return F.when(s["hi"] - s["lo"] <= LEAF_KEYS, s).otherwise(down)
+
+    return leaf.withColumn("path", F.aggregate(F.sequence(F.lit(0), leaf_size_steps(F.col("n"))), start, turn)["path"])
+
+
+def diff_leaves(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys of the leaves that have no equal leaf at the same place of the other tree: what comparing the trees finds.
+
+    A superset of ``diff_keys``: leaves hold up to four keys, and a key on one side only shifts those behind it.
+    """
+    x, y = (paths(leaves(t)).select("path", "hash", "keys") for t in (a, b))
+    own = lambda p, q: p.join(q.select("path", "hash"), ["path", "hash"], "left_anti").select(F.explode("keys").alias("key"))
+    return own(x, y).unionByName(own(y, x)).distinct()
+
+
+def weak_root(keys: DataFrame, key: str = "key") -> DataFrame:
+    """Root of the byte-sum tree over keys in order: pairs of neighbours become the sum of their hashes, an odd last one moves up.
+
+    A hash is eight bytes, low first, of the sum of bytes times their place. Levels are aggregations on the
+    halved position; there are as many as the logarithm of the number of keys.
+    """
+    nodes = checkpoint(global_rank(keys.select(F.col(key).alias("key")), [F.col("key")], "pos").select("pos", byte_sum(F.col("key")).alias("h")), "weak")
+    n = nodes.count()
+    if n == 0:
+        return nodes.sparkSession.createDataFrame([("",)], "hash string")
+
+    def joined(l, r):
+        byte = lambda h, i: F.shiftright(h, 8 * i).bitwiseAND(F.lit(255))
+        return sum(byte(l, i) * (i + 1) for i in range(8)) + sum(byte(r, i) * (i + 9) for i in range(8))
+
+    level = 0
+    while n > 1:
+        pair = nodes.groupBy(F.floor(F.col("pos") / 2).alias("pos")).agg(F.min(F.struct("pos", "h")).alias("l"), F.max(F.struct("pos", "h")).alias("r"))
+        nodes = pair.select("pos", F.when(F.col("l.pos") == F.col("r.pos"), F.col("l.h")).otherwise(joined(F.col("l.h"), F.col("r.h"))).alias("h"))
+        n, level = -(-n // 2), level + 1
+        if level % 4 == 0:
+            nodes = checkpoint(nodes, "weak")
+    bytes_low_first = F.concat(*[F.lpad(F.lower(F.hex(F.shiftright("h", 8 * i).bitwiseAND(F.lit(255)))), 2, "0") for i in range(8)])
+    return nodes.select(bytes_low_first.alias("hash"))

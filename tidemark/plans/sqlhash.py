@@ -92,3 +92,10 @@ def hash_texts(name: str, source: str, text: str, keep: str) -> str:
 {name}_8 AS (SELECT *, {fold(_wrap(f'{long} + CAST(nb AS UHUGEINT)'), 'list_transform(range(stripes * 4 + 1, nb // 8 + 1), lambda j: words[j])', _step8('h', 'k'))} AS h8 FROM {name}_v),
 {name}_4 AS (SELECT *, CASE WHEN nb % 8 >= 4 THEN {_step4('h8', f"({word('nb // 8 * 8 + 1', 4)})")} ELSE h8 END AS h4 FROM {name}_8),
 {name} AS (SELECT {keep}, {_finish(fold('h4', f"list_transform(range(nb // 4 * 4 + 1, nb + 1), lambda i: {byte.format(i='i')})", _step1('h', 'k')))} AS hash FROM {name}_4)"""
+
+
+def fnv_long(value: str) -> str:
+    """FNV-1a over the eight bytes of a BIGINT, low byte first, top bit cleared, as BIGINT."""
+    byte = "list_transform(range(8), lambda j: CAST((z >> CAST(8 * j AS INTEGER)) & 255 AS UHUGEINT))"
+    fold = f"list_reduce(list_prepend({_c0(14695981039346656037)}, {byte}), lambda h, b: (xor(h, b) * {_c0(1099511628211)}) % {_c0(_M)})"
+    return _let(f"CAST({value} AS BIGINT)", "z", f"CAST({fold} % {_c0(1 << 63)} AS BIGINT)")

@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..operators.changes import MergeTable, changes
-from ..operators.folds import Breaker
+from ..operators.folds import Breaker, Bucket
+from ..operators.skew import nearest_rank
 from ..session import scratch
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -108,6 +109,81 @@ def breaker_stream(calls: DataFrame, threshold: int = 3, timeout: float = 30.0,
     return calls.groupBy("peer").transformWithStateInPandas(_BreakerProcessor(threshold, timeout, limit), "peer string, seq long, allowed boolean, state string", "Append", "None")
 
 
+class _LimitProcessor(StatefulProcessor):
+    """One token bucket per client; rows of a micro-batch are taken in order of time."""
+
+    def __init__(self, rate: float, burst: int):
+        self.args = (rate, burst)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.state = handle.getValueState("bucket", "tokens long, ticks long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        bucket = Bucket(*self.args)
+        if self.state.exists():
+            bucket.tokens, bucket.ticks = self.state.get()
+        asked = pd.concat(list(rows)).sort_values(["t", "seq"])
+        out = [(key[0], int(s), bucket.step(float(t))) for s, t in zip(asked["seq"], asked["t"])]
+        self.state.update((bucket.tokens, bucket.ticks))
+        yield pd.DataFrame(out, columns=["client", "seq", "allowed"])
+
+    def close(self) -> None:
+        pass
+
+
+def rate_limit_stream(requests: DataFrame, rate: float, burst: int) -> DataFrame:
+    """Requests (client, seq, t) with the decision of their client's token bucket; needs the RocksDB state store."""
+    requests.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    return requests.groupBy("client").transformWithStateInPandas(_LimitProcessor(rate, burst), "client string, seq long, allowed boolean", "Append", "None")
+
+
+def _recent(keep: int):
+    """A step that keeps the ``keep`` rows of the highest seq of a node and gives them out whenever some have come."""
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seqs, values = state.get if state.exists else ([], [])
+        held = pd.DataFrame({"seq": pd.Series(list(seqs), dtype="int64"), "value": pd.Series(list(values), dtype="int64")})
+        for f in frames:
+            held = pd.concat([held, f[["seq", "value"]].astype("int64")]).nlargest(keep, "seq")
+        held = held.sort_values("seq")
+        state.update((held["seq"].tolist(), held["value"].tolist()))
+        yield pd.DataFrame({"node": [key[0]], "seq": [int(held["seq"].iloc[-1])], "values": [held["value"].tolist()]})
+
+    return step
+
+
+def recent_values(samples: DataFrame, keep: int) -> DataFrame:
+    """Streaming window of the last ``keep`` samples (node, seq, value) of each node: a row with all of them whenever it changes (update mode)."""
+    rows = samples.filter("node is not null and seq is not null and value is not null").select("node", "seq", F.col("value").cast("long").alias("value"))
+    return rows.groupBy("node").applyInPandasWithState(_recent(keep), "node string, seq long, values array<long>", "seqs array<long>, kept array<long>", "update", GroupStateTimeout.NoTimeout)
+
+
+def timeouts(recent: DataFrame, percentile: float = 0.95, factor: float = 2.0, low: int = 50, high: int = 5000, default: int = 500, least: int = 3) -> DataFrame:
+    """The adaptive timeout of each node from its window of latencies in whole milliseconds."""
+    n = F.size("values")
+    p = F.get(F.array_sort("values"), (nearest_rank(n, percentile) - 1).cast("int"))
+    return recent.select("node", "seq", F.when(n < least, F.lit(default)).otherwise(F.least(F.greatest(F.floor(p * factor), F.lit(low)), F.lit(high))).cast("long").alias("timeout_ms"))
+
+
+def suspicion(recent: DataFrame, now_us: int, least: int = 10, threshold: float = 8.0) -> DataFrame:
+    """Suspicion of each node at a time from its window of heartbeats (microseconds), as ``analytics.phi_count`` has it."""
+    steps = F.transform(F.sequence(F.lit(1), F.greatest(F.size("values") - 1, F.lit(1))), lambda i: F.floor((F.get("values", i) - F.get("values", i - 1)) / 1000))
+    steps = F.when(F.size("values") > 1, steps).otherwise(F.array().cast("array<bigint>"))
+    mean = F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x) / F.size(steps)
+    phi = F.when((F.size(steps) < least) | (F.coalesce(mean, F.lit(0.0)) <= 0), F.lit(0.0)).otherwise(F.floor((F.lit(now_us) - F.element_at("values", -1)) / 1000) / mean / F.log(F.lit(10.0)))
+    return recent.select("node", "seq", phi.alias("phi")).withColumn("alive", F.col("phi") < threshold)
+
+
+def last_rows(stream: DataFrame, path: str, key: str, order: str, trigger: dict | None = None) -> DataFrame:
+    """Run an updating stream to its end into a folder, a part for each micro-batch, and give the last row of each key."""
+    def step(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    stream.writeStream.outputMode("update").foreachBatch(step).option("checkpointLocation", f"{path}-checkpoint").trigger(**(trigger or {"availableNow": True})).start().awaitTermination()
+    rows = stream.sparkSession.read.parquet(path)
+    others = [c for c in rows.columns if c not in (key, order)]
+    return rows.groupBy(key).agg(F.max(F.struct(order, *others)).alias("l")).select(key, *[F.col(f"l.{c}").alias(c) for c in (order, *others) if c != "batch"])
+
+
 class _ExpiryProcessor(StatefulProcessor):
     """Latest time to live per key; a timer emits the key when it has passed."""
 

@@ -72,6 +72,24 @@ def test_engine(spark):
     assert not e.dump("user:2").first()["found"] and e.stats().first()["live_keys"] == 2
     assert Engine(spark, e.table.path).scan().count() == 2
     e.compact()
+    assert e.put("user:3", "c", ts=9, vc={"n2": 4, "n1": 1}) == "ok" and e.batch_put([("user:4", "d", 1, 2, {"n1": 7}), ("user:5", "e")]) == "ok"
+    assert {r["key"]: r["clock"] for r in e.clocks().collect() if r["key"] > "user:2"} == {"user:3": "n1=1,n2=4", "user:4": "n1=7", "user:5": ""}
+    assert [tuple(r) for r in e.get("user:4").select("ver", "ts").collect()] == [(1, 2)] and e.batch_put([("k", "v")] * 10_001) == "too_many_keys"
+    e.put_async("user:6", "f")
+    assert e.exists("user:6") == 0 and e.flush() == "ok" and e.exists("user:6") == 1 and e.flush() == "ok"
+    assert [(r["pos"], r["found"]) for r in e.batch_get(["user:6", "no", "user:6"]).collect()] == [(0, True), (1, False), (2, True)]
+    cursor = e.iterate("user:")
+    assert not cursor.valid and cursor.next() and cursor.key == "user:1" and cursor.value == "z" and cursor.seek("user:35") and cursor.key == "user:4"
+    assert cursor.last() and not cursor.next() and cursor.prev() and cursor.key == "user:6" and cursor.total == 5 and not cursor.seek("z")
+    cursor.close()
+    assert not cursor.first() and e.seek("user:2").first()["key"] == "user:3"
+    assert {r["key"] for r in e.sync(0, tombstones=True).collect()} > {"user:2"} and e.info().first()["disk_bytes"] > 0
+    assert e.ttl("user:3", 5) is None
+    e.expire("user:3", 100, 1000)
+    e.expire("user:4", 100, 1000)
+    e.expire("user:4", None, 1001)
+    assert (e.ttl("user:3", 1050), e.ttl("user:3", 1200), e.ttl("user:4", 1050)) == (50, -100, None)
+    assert e.drop_expired(1100) == 0 and e.drop_expired(1101) == 1 and e.exists("user:3", "user:4") == 1
     e.flush_all()
     assert e.scan().count() == 0
 

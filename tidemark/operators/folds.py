@@ -114,6 +114,11 @@ def is_expired(ops: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
     return keys.select("key").distinct().join(ttl_state(ops), "key", "left").select("key", F.coalesce(F.col("expire_at") < now, F.lit(True)).alias("expired"))
 
 
+def remaining(ops: DataFrame, keys: DataFrame, now: Column) -> DataFrame:
+    """Wanted keys with the milliseconds they have left (negative once expired), null for those without a time to live."""
+    return keys.select("key").distinct().join(ttl_state(ops), "key", "left").select("key", (F.col("expire_at") - now).alias("left_ms"))
+
+
 def undelivered_hints(hints: DataFrame, delivered: DataFrame, max_attempts: int = 10, oldest: Column | None = None) -> DataFrame:
     """Hints to send again: not delivered (by key and target) and tried fewer than ``max_attempts`` times.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..engine import Engine
 from ..functions import scalar
 from ..operators import folds, maintain, snapshot
 from ..operators.changes import MergeTable, changes
@@ -194,6 +195,23 @@ def ttl_is_expired(spark, d):
     return folds.is_expired(ops, table(spark, d, "kv_request").filter("key <> ''"), F.lit(now))
 
 
+def ttl_remaining(spark, d):
+    ops = _ttl_ops(spark, d)
+    now = ops.agg(F.max("ts_ms")).first()[0] or 0
+    return folds.remaining(ops, table(spark, d, "kv_request").filter("key <> ''"), F.lit(now))
+
+
+def engine_state(spark, d):
+    """The newest change of each key written through the engine with its clock, some keys deleted, and read back by prefix."""
+    e = Engine(spark, buckets=4)
+    log = snapshot.latest(_wal(spark, d))
+    e.write(log.select(F.when(F.col("tombstone"), "DEL").otherwise("PUT").alias("op"), "key", "value", "ver", "ts", F.create_map(F.lit("n"), F.col("ver")).alias("vc")))
+    e.delete(KEY, "no such key")
+    e.put(PREFIX + "!new", "x", ts=5)
+    rows = e.scan().filter(F.col("key").startswith(PREFIX) | F.col("key").startswith("cfg/"))
+    return rows.join(e.clocks(), "key").select("key", "value", "ver", "clock")
+
+
 def row_cache_stale(spark, d):
     """Cached rows (each key's requests at their log end) that a newer position has made stale, and those kept."""
     newest = _wal(spark, d).filter("key <> ''").groupBy("key").agg(F.max("lsn").alias("lsn"))
@@ -243,7 +261,7 @@ QUERIES = {f.__name__: f for f in (
     kv_latest, kv_scan_prefix, kv_keys, kv_get, kv_since_version, kv_stats, kv_multiget, kv_batch_get_ordered, kv_batch_get_counts, kv_seek_ge, kv_prev,
     kv_rank_cursor, kv_exists_count, kv_keys_glob, kv_scan_page, kv_delete_many, kv_validate_status, kv_rmw, kv_append_puts, kv_coalesce_batch, log_merge_sorted,
     log_dedup_ttl, compact_level_plan, compact_tier_plan, compact_equivalence, compact_tiered, run_stats, scalar_functions, scalar_fnv64, scalar_hosts, quorum_validate,
-    ttl_expired, ttl_is_expired, row_cache_stale, epoch_sequence, log_json_lines, json_export, json_import, parquet_run, stream_latest)}
+    ttl_expired, ttl_is_expired, ttl_remaining, engine_state, row_cache_stale, epoch_sequence, log_json_lines, json_export, json_import, parquet_run, stream_latest)}
 
 CHANGES = """changes AS (SELECT key, ver, ts, upper(trim(op, ' ' || chr(9))) AS op, value, lsn, node FROM wal_record
   WHERE key <> '' AND ver IS NOT NULL AND ts IS NOT NULL AND upper(trim(op, ' ' || chr(9))) IN ('PUT', 'DEL'))"""
@@ -314,6 +332,10 @@ SELECT key, CAST(f AS VARCHAR) AS fnv64, CAST(xor(s, s // 2147483648) AS VARCHAR
     "ttl_expired": _with("SELECT key, expire_at FROM ttl WHERE op = 'add' AND expire_at < (SELECT max(ts_ms) FROM ops)", _TTL),
     "ttl_is_expired": _with("""SELECT k.key, coalesce(t.expire_at < (SELECT max(ts_ms) FROM ops), true) AS expired FROM (SELECT DISTINCT key FROM kv_request WHERE key <> '') k
   LEFT JOIN ttl t ON k.key = t.key AND t.op = 'add'""", _TTL),
+    "ttl_remaining": _with("""SELECT k.key, t.expire_at - (SELECT max(ts_ms) FROM ops) AS left_ms FROM (SELECT DISTINCT key FROM kv_request WHERE key <> '') k
+  LEFT JOIN ttl t ON k.key = t.key AND t.op = 'add'""", _TTL),
+    "engine_state": _with(f"""SELECT key, value, ver, 'n=' || ver AS clock FROM live WHERE (starts_with(key, '{PREFIX}') OR starts_with(key, 'cfg/')) AND key <> '{KEY}'
+UNION ALL SELECT '{PREFIX}!new', 'x', max(ver) + 2, '' FROM latest"""),
     "row_cache_stale": """SELECT CASE WHEN lsn > asked THEN 'stale' ELSE 'kept' END AS state, count(*) AS n FROM (SELECT key, max(log_end) AS asked FROM kv_request WHERE key <> '' GROUP BY key)
   JOIN (SELECT key, max(lsn) AS lsn FROM wal_record WHERE key <> '' GROUP BY key) USING (key) GROUP BY 1""",
     "epoch_sequence": "SELECT attempt, CAST(1 AS BIGINT) AS first, count(*) AS last, count(*) AS n FROM sync_run GROUP BY attempt",

@@ -85,3 +85,14 @@ def test_blocked_lag_equals_lag(spark):
             want[s, t] = before
             before = v
     assert got == want
+
+
+def test_spread_join_with_a_hot_key_on_both_sides(spark):
+    from tidemark.operators.skew import hot_keys, spread_join
+
+    many = spark.range(3000).selectExpr("case when id % 3 = 0 then binary('hot') when id % 7 = 0 then null else binary(cast(id as string)) end as k", "id as x")
+    few = spark.createDataFrame([(bytearray(b"hot"), i) for i in range(5)] + [(bytearray(b"1"), 9), (bytearray(b"2"), 9), (None, 9)], "k binary, y int")
+    assert len(hot_keys(many, "k")) == 1
+    got = spread_join(many, few, "k", ["x"])
+    assert got.count() == many.join(few, "k").count() == 5002 and got.exceptAll(many.join(few, "k")).count() == 0 and got.columns == ["k", "x", "y"]
+    assert spread_join(many.limit(0), few, "k", ["x"]).count() == 0

@@ -131,6 +131,32 @@ def distributed_rank(df: DataFrame, groups: list[str], order: list[Column], out:
     return ranked.join(sizes.alias("r"), on).select("l.*", (F.col("l.__rn") + F.col("r.__off")).alias(out)).drop("__blk", "__rn")
 
 
+def _literal(value):
+    return F.lit(bytes(value) if isinstance(value, bytearray) else value)
+
+
+def hot_keys(df: DataFrame, key: str, hot_share: float = 0.01) -> list:
+    """Literals of the keys with at least ``hot_share`` of all rows, counted exactly: at most 1/hot_share of them."""
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    # the grouping is computed once: the total reads the same exchange
+    least = F.greatest(F.lit(1), F.ceil(counts.agg(F.sum("__n")).scalar() * F.lit(float(hot_share))))
+    return [_literal(r[0]) for r in counts.filter(F.col("__n") >= least).select(key).limit(math.ceil(1 / hot_share) + 1).collect() if r[0] is not None]
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, by: list[str], hot_share: float = 0.01, salts: int = 64) -> DataFrame:
+    """Inner join on a key that may hold a large part of ``many`` and several rows of ``few``.
+
+    Rows of ``many`` under a key with at least ``hot_share`` of them are cut into ``salts`` parts by a hash of the
+    columns ``by``, and the rows of ``few`` under these keys, 1/hot_share at most, stand in every part. Nothing is
+    broadcast and nothing dropped. ``many`` is read twice.
+    """
+    hot = hot_keys(many, key, hot_share)
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False)) if hot else F.lit(False)
+    left = many.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*by), F.lit(salts))).otherwise(0).cast("int"))
+    right = few.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return left.join(right, [key, "__salt"]).drop("__salt")
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, hot_share: float = 0.01, how: str = "inner") -> DataFrame:
     """Join ``many`` with ``one`` (unique per key) although a key may hold a large part of ``many``.
 
@@ -142,10 +168,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, hot_share: float = 0.
         raise ValueError("how must be inner or left")
     if not 0 < hot_share <= 1:
         raise ValueError("hot_share must lie in (0, 1]")
-    counts = many.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
-    # the grouping is computed once: the total reads the same exchange
-    least = F.greatest(F.lit(1), F.ceil(counts.agg(F.sum("__n")).scalar() * F.lit(float(hot_share))))
-    hot = [r[0] for r in counts.filter(F.col("__n") >= least).select(key).limit(math.ceil(1 / hot_share) + 1).collect() if r[0] is not None]
+    hot = hot_keys(many, key, hot_share)
     if not hot:
         return many.join(one, key, how)
     is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))

@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from tidemark.llm.leak import MASKS, SPAN, leaks
+from tidemark.llm.leak import MASKS, PLANE, SPAN, leak_hits, leaks
 from tidemark.llm.look import words
 
 DOCS = "doc_id long, text string, item_id long, run_words long"
@@ -46,7 +46,7 @@ def made(seed):
     return docs + [(900, None), (901, ""), (902, "​")], items
 
 
-@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"block_chars": 200})])
+@pytest.mark.parametrize("seed,options", [(1, {}), (2, {"masks": PLANE})])
 def test_exact_runs_against_brute_force(spark, seed, options):
     docs, items = made(seed)
     want = {}
@@ -70,6 +70,40 @@ def test_windows_with_one_change_are_found(spark):
             assert got.get((d, i), (0, 0, 0))[1] == near
 
 
+@pytest.mark.parametrize("changes,least", [(2, 1.0), (3, 0.15), (4, 0.0)])
+def test_recall_for_changed_words(spark, changes, least):
+    """A window of 13 words with so many others: two are always found by the plane's masks, more by chance."""
+    random.seed(changes)
+    items = [(i, " ".join(f"i{i}w{k}" for k in range(SPAN))) for i in range(300)]
+    docs = []
+    for i, text in items:
+        ws = text.split()
+        for at in random.sample(range(SPAN), changes):
+            ws[at] = f"other{at}"
+        docs.append((i, " ".join(["before", *ws, "after"])))
+    got = run(spark, docs, items, changed=changes, masks=PLANE)
+    assert all(d == i and v[2] == changes for (d, i), v in got.items())
+    assert len(got) / 300 >= least
+    print(changes, len(got) / 300)
+
+
+def test_extent_goes_on_across_changes(spark):
+    ws = [f"w{i}" for i in range(60)]
+    changed = [("x" if i in (14, 30, 31) else w) for i, w in enumerate(ws)]
+    d = spark.createDataFrame([(1, "a b c " + " ".join(changed) + " d")], "doc_id long, text string")
+    e = spark.createDataFrame([(7, " ".join(ws))], "item_id long, text string")
+    r = leaks(d, e, changed=2, masks=PLANE).first()
+    assert (r["run_words"], r["extent"], r["changes"]) == (28, 60, 0)
+
+
+def test_phrase_that_all_items_share(spark):
+    phrase = " ".join(f"s{i}" for i in range(15))
+    items = [(i, f"{phrase} own{i}") for i in range(200)]
+    d = spark.createDataFrame([(i, f"intro {phrase} end {i}") for i in range(150)], "doc_id long, text string")
+    hits = leak_hits(d, spark.createDataFrame(items, "item_id long, text string"))
+    assert hits.count() == 200 * 150 * 3 and hits.select("doc_id", "item_id").distinct().count() == 200 * 150
+
+
 def test_changed_form_of_a_passage(spark):
     item = "The büffer of relay must Seal its ledger before any noisy Worker drains file nine Тест"
     doc = "+The_büffer OF\n+ｒelay must se­al its lеdger; before any noisy worker drains ﬁle nine ТЕСТ -- end"

@@ -5,12 +5,13 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.llm.look import SAME_SHAPE, consistent_token, same_look, words
+from tidemark.llm.look import confusable, consistent_token, letter_shapes, resolved_scripts, same_look, words
 
 SAME = [
     ("ＡＢＣ１２３（x）", "ABC123(x)"), ("ﾊﾞｸﾞ", "バグ"), ("été", "été"), ("ﬁle ﬂow oﬃce", "file flow office"), ("co­op​ ﻿x‍y⁠", "coop xy"),
     ("a b c　d", "a b c d"), ("рaypаl", "paypal"), ("сор", "cop"), ("СОР", "COP"), ("Kelvin", "Kelvin"), ("\U0001d41aℂ", "aC"), ("ɡɑp", "gap"), ("пpивeт", "привет"),
     ("Ноmе", "Home"), ("ν1", "v1"), ("օk", "ok"), ("Ⅻ", "XII"), ("ë", "ё"), ("へ", "ヘ"), ("й", "й"), ("x️", "x"), ("\u00b5s", "\u03bcs"), ("\u2f00", "\u4e00"),
+    ("\ufefb", "\u0644\u0627"), ("\ufe91\ufe8e", "\u0628\u0627"), ("\uab83\uab93\uabaf", "wzc"), ("\u1d04o\u1d20er", "cover"),
 ]
 DIFFERENT = [("a", "A"), ("e", "é"), ("a b", "a  b"), ("a\tb", "a b"), ("a\r\nb", "a\nb"), ("l", "1"), ("O", "0"), ("rn", "m"), ("a.", "a"), ("…", "..."), ("™", "TM"), ("x²", "x2"), ("½", "1⁄2"), ("к", "k"), ("н", "h"), ("а\nb", "а b"), ("a\x1b", "a"), ("’", "'"), ("–", "-"), ("m", "ｎ"), ("\u017f", "s"), ("\u03d1", "\u03b8"), ("\u24d0", "a")]
 
@@ -31,7 +32,7 @@ def test_consistent_spelling_keeps_scripts():
     assert consistent_token("") == "" and consistent_token("́") == "́"
 
 
-ALPHABET = "ab AOeé́­‍　Ａａﬁν" + "".join(p.split("=")[0] for line in SAME_SHAPE.values() for p in line.split())[:40] + "привет日本二口ロ0-_\n\t"
+ALPHABET = "ab AOeé́­‍　Ａａﬁν" + "асеһіјорԛѕѵԝхуАВСЕНІЈКМОРԚЅТΑΒΕΗΙΚ" + "привет日本二口ロ0-_\n\t"
 
 
 @settings(max_examples=400, deadline=None)
@@ -70,3 +71,18 @@ def test_words_of_more_scripts_stay_their_own():
         assert same_look(text) == text
     for word in ("\u2c8e\u2c9e\u2cb6", "ӀӘ", "\U00010404\U00010400"):
         assert words(word) == words(word.lower())
+
+
+def test_shapes_come_from_the_confusables(spark):
+    table = letter_shapes(spark)
+    assert {"Cyrillic", "Greek", "Cherokee", "Lisu", "Coptic", "Canadian_Aboriginal"} <= table.keys() and sum(map(len, table.values())) > 200
+    assert ("а", "a") in table["Cyrillic"] and ("І", "I") in table["Cyrillic"] and not any(c == "α" for c, _ in table["Greek"])
+
+
+@pytest.mark.parametrize("token,kind", [("pаypal", "mixed"), ("сор", "whole"), ("hello", None), ("привет", None), ("яblok", "mixed_only"), ("カタひら漢字", None), ("한글漢字", None), ("กا", "mixed_only"), ("ー", None), ("1", None), ("ΑΒΕ", "whole"), ("ꓮꓳ", "whole"), ("éa", None)])
+def test_mixed_and_whole_script_confusables(token, kind):
+    assert confusable(token) == kind
+
+
+def test_resolved_scripts():
+    assert resolved_scripts("漢字かな") == {"Japanese"} and resolved_scripts("漢한") == {"Korean"} and resolved_scripts("กا") == frozenset() and resolved_scripts("--") is None

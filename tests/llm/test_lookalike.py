@@ -1,5 +1,5 @@
 from tidemark.llm.look import same_look
-from tidemark.llm.lookalike import consistent_text, lookalike_pairs
+from tidemark.llm.lookalike import confusable_tokens, consistent_text, lookalike_classes, lookalike_pairs
 
 SCHEMA = "doc_id long, text string, look string, n long"
 
@@ -30,3 +30,20 @@ def test_empty_table_and_forms(spark):
     assert lookalike_pairs(frame(spark, [])).count() == 0
     rows = consistent_text(frame(spark, [(1, None), (2, ""), (3, "ＯＫ")])).orderBy("doc_id").collect()
     assert [r["form"] for r in rows] == [None, "", "OK"] and rows[0]["look"] == "clash"
+
+
+def test_classes_say_what_the_pairs_say(spark):
+    forms = ["paypal", "рaypal", "pаypal", "ｐaypal", "pay​pal"]
+    texts = [(i, forms[i % 5] + " x" * (i % 3)) for i in range(60)] + [(100, None), (101, ""), (106, "E"), (107, "same"), (108, "same")] + [(200 + i, "merge") for i in range(300)] + [(999, "mergе")]
+    pairs, want = brute(texts), {}
+    for a, b in pairs:
+        for x in (a, b):
+            want[x] = want.get(x, 0) + 1
+    got = {r["doc_id"]: r for r in lookalike_classes(frame(spark, texts + texts[:9])).collect()}
+    assert {d: r["links"] for d, r in got.items()} == want
+    assert all(got[a]["class_id"] == got[b]["class_id"] <= a for a, b in pairs) and got[999]["texts"] == 2 and lookalike_classes(frame(spark, [])).count() == 0
+
+
+def test_confusable_tokens(spark):
+    rows = confusable_tokens(frame(spark, [(1, "pаypal pаypal ok"), (2, "сор, привет pаypal"), (3, None), (4, "")]))
+    assert {(r["token"], r["kind"], r["form"], r["n"]) for r in rows.collect()} == {("pаypal", "mixed", "paypal", 3), ("сор", "whole", "cop", 1)}

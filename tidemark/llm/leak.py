@@ -7,17 +7,23 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import spread
+from ..operators.skew import spread_join
+from ..session import checkpoint, spread
+from . import look
 from .look import words
 
 SPAN = 13
-#: Positions of a window that each mask ignores: every third from 0, 1 and 2. One changed word is always
+#: Positions of a window that each mask looks at: all but every third, from 0, 1 and 2. One changed word is always
 #: among the ignored of one mask, and so are several whose distances are multiples of three.
 MASKS = tuple(tuple(p for p in range(SPAN) if p % 3 != skip) for skip in range(3))
+#: The lines of the projective plane of order three over its 13 points are what these masks ignore: any two
+#: positions lie on a line, so windows with up to two changed words are always found.
+PLANE = tuple(tuple(p for p in range(SPAN) if (p - shift) % SPAN not in (0, 1, 3, 9)) for shift in range(SPAN))
 _SLICE = 400_000  # words that are hashed at once
+_SIEVE = (16, 27)  # least and most bits of a place in the sieve: 8 KB to 16 MB
 
 
 def _factors(span: int) -> np.ndarray:
@@ -25,164 +31,130 @@ def _factors(span: int) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(b"position %d" % p) | 1 for p in range(span)], np.uint64)
 
 
-def _window_hashes(w: np.ndarray, mask: tuple[int, ...], span: int) -> np.ndarray:
-    """Hash of the unmasked words of each window, for the windows starting at each word but the last ones."""
+def _window_hashes(w: np.ndarray, number: int, mask: tuple[int, ...], span: int) -> np.ndarray:
+    """Hash of the number of the mask and the words it looks at, for the windows starting at each word but the last ones."""
     n = len(w) - span + 1
-    h, factors = np.zeros(n, np.uint64), _factors(span)
+    h, factors = np.full(n, number, np.uint64), _factors(span)
     for p in mask:
         h += w[p:p + n] * factors[p]
-    return h ^ (h >> np.uint64(29))
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x9E3779B97F4A7C15)
+    return h ^ (h >> np.uint64(32))
 
 
-class _Known(dict):
-    """Words of the evaluation texts with their hashes; 0 for any other word."""
+class _Hashes(dict):
+    """Hashes of the words met so far; emptied when there are very many."""
 
     def __missing__(self, word: str) -> int:
-        return 0
-
-
-class EvalIndex:
-    """Seeds of a block of evaluation items."""
-
-    def __init__(self, items: list[tuple[int, str]], span: int, masks: tuple[tuple[int, ...], ...]):
-        self.span, self.masks, self.known = span, masks, _Known()
-        hashes, owner, start = [], [], []
-        for n, (_, text) in enumerate(items):
-            ws = words(text)
-            start += [len(ws) - i >= span for i in range(len(ws))]
-            owner += [n] * len(ws)
-            for w in ws:
-                if w not in self.known:
-                    dict.__setitem__(self.known, w, xxhash.xxh3_64_intdigest(w.encode()) or 1)
-                hashes.append(self.known[w])
-        self.words = np.array(hashes, np.uint64)
-        self.owner = np.array(owner, np.int64)
-        self.ids = np.array([i for i, _ in items], np.int64)
-        at = np.flatnonzero(np.array(start, bool))
-        self.seeds = []
-        for mask in masks:
-            if not len(at):
-                break
-            h = _window_hashes(self.words, mask, span)[at]
-            order = np.argsort(h, kind="stable")
-            self.seeds.append((mask, h[order], at[order]))
-        bits = 1 << 20
-        self.sieve = np.zeros(bits, bool)
-        for _, h, _ in self.seeds:
-            self.sieve[(h >> np.uint64(44)).astype(np.int64)] = True
-
-    def hits(self, w: np.ndarray, fits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (corpus position, evaluation position) whose windows agree in all words of some mask."""
-        found = []
-        for mask, hashes, at in self.seeds:
-            h = _window_hashes(w, mask, self.span)
-            pos = np.flatnonzero(self.sieve[(h >> np.uint64(44)).astype(np.int64)] & fits[:len(h)])
-            lo, hi = np.searchsorted(hashes, h[pos], "left"), np.searchsorted(hashes, h[pos], "right")
-            n = hi - lo
-            pos, lo, n = pos[n > 0], lo[n > 0], n[n > 0]
-            if len(pos):
-                first = np.repeat(np.cumsum(n) - n, n)
-                found.append(np.stack([np.repeat(pos, n), at[np.repeat(lo, n) + np.arange(n.sum()) - first]]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both = np.unique(np.concatenate(found, axis=1), axis=1)
-        return both[0], both[1]
-
-    def overlaps(self, doc: np.ndarray, w: np.ndarray, fits: np.ndarray, changed: int) -> tuple[np.ndarray, ...]:
-        """Per (document, item): longest run of equal words, windows with at most ``changed`` others, least changes."""
-        none = np.zeros(0, np.int64)
-        d, e = self.hits(w, fits)
-        if not len(d):
-            return none, none, none, none, none
-        misses = np.zeros(len(d), np.int64)
-        for p in range(self.span):
-            misses += w[d + p] != self.words[e + p]
-        keep = misses <= changed
-        d, e, misses = d[keep], e[keep], misses[keep]
-        if not len(d):
-            return none, none, none, none, none
-        # equal windows next to each other on one diagonal are one run
-        order = np.lexsort((d, d - e, self.owner[e], doc[d]))
-        d, e, misses = d[order], e[order], misses[order]
-        exact = misses == 0
-        step = np.ones(len(d), bool)
-        step[1:] = ~(exact[1:] & exact[:-1] & (d[1:] == d[:-1] + 1) & (e[1:] == e[:-1] + 1))
-        run = np.cumsum(step) - 1
-        length = np.bincount(run)[run] + self.span - 1
-        pair = np.stack([doc[d], self.owner[e]])
-        new = np.ones(len(d), bool)
-        new[1:] = (pair[:, 1:] != pair[:, :-1]).any(axis=0)
-        head = np.flatnonzero(new)
-        longest = np.maximum.reduceat(np.where(exact, length, 0), head)
-        return pair[0][head], self.ids[pair[1][head]], longest, np.diff([*head, len(d)]), np.minimum.reduceat(misses, head)
-
-
-def _blocks(items: DataFrame, item_id: str, text: str, block_chars: int) -> Iterator[list[tuple[int, str]]]:
-    """Evaluation items in blocks of bounded size; the driver holds one block at a time."""
-    block, size = [], 0
-    for i, t in items.select(item_id, text).filter(F.col(item_id).isNotNull() & (F.col(text) != "")).distinct().toLocalIterator():
-        block.append((i, t))
-        size += len(t)
-        if size >= block_chars:
-            yield block
-            block, size = [], 0
-    if block:
-        yield block
-
-
-_OUT = "doc_id long, item_id long, run_words long, windows long, changes long"
+        if len(self) > 1_000_000:
+            self.clear()
+        h = self[word] = xxhash.xxh3_64_intdigest(word.encode())
+        return h
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-          changed: int = 1, span: int = SPAN, masks: tuple[tuple[int, ...], ...] = MASKS, block_chars: int = 4_000_000) -> DataFrame:
-    """Documents that contain passages of evaluation items, with how much of them.
+_hashes = _Hashes()
+_SEEDS = "id long, at int, seed long, window binary"
+
 
-    A row for each (doc_id, item_id) with a window of ``span`` words that agrees but for at most
-    ``changed`` words: ``run_words`` is the longest run of equal words if it has ``span`` or more, else 0;
-    ``windows`` counts the agreeing windows, ``changes`` is the least number of changed words in one.
-    Windows with equal words are always found; with one changed word too, by the choice of masks; with
-    more only where some mask ignores them all.
-
-    Words are compared by look and without case. Items are a stated query set: they go to the tasks in
-    blocks of at most ``block_chars`` characters (one more item), each a broadcast of bounded size, and
-    the corpus is read once per block. Documents aren't shuffled. Items or documents that are null, empty
-    or shorter than ``span`` words match nothing; an item under two ids gives a row for each; repeated
-    rows come out once.
+def _seeds(rows: DataFrame, span: int, masks: tuple[tuple[int, ...], ...], sieve=None) -> DataFrame:
+    """(id, at, seed, window) of the windows of texts (id, text), for each mask; with a sieve only those it lets through.
+
+    A window is the hashes of its words. Rows come out batch by batch; a text is one value and stays in one task.
+    """
+    table = look.letter_shapes(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        look.use(table)
+        of, bits = _hashes.__getitem__, None if sieve is None else sieve.value
+        places = None if bits is None else np.uint64(8 * len(bits) - 1)
+        for b in batches:
+            ids, texts, here = b.column(0).to_numpy(), b.column(1).to_pylist(), 0
+            while here < len(texts):
+                parts, sizes, first = [], [], here
+                while here < len(texts) and (not sizes or sum(sizes) < _SLICE):
+                    ws = words(texts[here])
+                    parts.append(np.fromiter(map(of, ws), np.uint64, len(ws)))
+                    sizes.append(len(ws))
+                    here += 1
+                w, n = np.concatenate(parts), np.array(sizes)
+                if len(w) < span:
+                    continue
+                start = np.cumsum(n) - n
+                fits = np.repeat(np.cumsum(n), n)[:len(w) - span + 1] - np.arange(len(w) - span + 1) >= span
+                doc = np.repeat(np.arange(len(n)), n)
+                for number, mask in enumerate(masks):
+                    h = _window_hashes(w, number, mask, span)
+                    keep = fits
+                    if bits is not None:
+                        place = h & places
+                        keep = fits & ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    pos = np.flatnonzero(keep)
+                    for cut in range(0, len(pos), 50_000):
+                        p = pos[cut:cut + 50_000]
+                        body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * span), len(p), [None, pa.py_buffer(np.ascontiguousarray(w[p[:, None] + np.arange(span)]).tobytes())])
+                        yield pa.RecordBatch.from_arrays([pa.array(ids[first:here][doc[p]]), pa.array((p - start[doc[p]]).astype(np.int32)), pa.array(h[p].view(np.int64)), body.cast(pa.binary())], ["id", "at", "seed", "window"])
+
+    return rows.mapInArrow(run, _SEEDS)
+
+
+def _sieve(spark: SparkSession, seeds: DataFrame):
+    """Bits of the seeds there are, about 32 places for each: at most 2^27 of them, so a broadcast of 16 MB whatever the
+    items. When it is fuller it lets more through, which costs time and changes nothing."""
+    n = seeds.select("seed").distinct().count()
+    k = min(_SIEVE[1], max(_SIEVE[0], (32 * max(1, n)).bit_length()))
+    place = F.col("seed").bitwiseAND(F.lit((1 << k) - 1))
+    marks = seeds.select(F.shiftright(place, 5).alias("word"), place.bitwiseAND(F.lit(31)).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("marks"))
+    bits = np.zeros(1 << (k - 5), "<u4")
+    found = marks.toArrow()  # as many rows as words at most
+    bits[found["word"].to_numpy()] = found["marks"].to_numpy().astype(np.uint32)
+    return spark.sparkContext.broadcast(bits.view(np.uint8))
+
+
+def leak_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
+              changed: int = 0, span: int = SPAN, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
+    """(doc_id, item_id, d, e, misses): windows of ``span`` words at d of a document and e of an item that agree but for ``misses`` words, ``changed`` at most.
+
+    Windows with equal words are always found, those with other words where some mask ignores them all.
+
+    The seeds of both sides, hashes of the words that a mask looks at, are joined: the corpus is read once,
+    whatever the items, and of its windows only those that pass the sieve of the items' seeds leave their
+    task. Items are reduced to distinct windows before the join and unfolded after the check of each hit, so
+    a phrase that many items share is met once; seeds and windows that hold a large part of the hits are
+    spread. Words are compared by look and without case. Texts that are null, empty or shorter than ``span``
+    words match nothing; an item under two ids counts for each; repeated rows count once.
     """
     if span < max((p for m in masks for p in m), default=0) + 1:
         raise ValueError("a mask reaches beyond the window")
-    corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter(F.col("text") != "")
-    corpus = spread(corpus)
     spark = docs.sparkSession
-    found = None
-    for block in _blocks(items, item_id, text, block_chars):
-        index = spark.sparkContext.broadcast(EvalIndex(block, span, masks))
-
-        def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            ix = index.value
-            lookup = ix.known.__getitem__
-            for b in batches:
-                ids, texts = b.column(0).to_numpy(), b.column(1).to_pylist()
-                at = 0
-                while at < len(texts):
-                    parts, sizes, first = [], [], at
-                    while at < len(texts) and (not sizes or sum(sizes) < _SLICE):
-                        ws = words(texts[at])
-                        parts.append(np.fromiter(map(lookup, ws), np.uint64, len(ws)))
-                        sizes.append(len(ws))
-                        at += 1
-                    w = np.concatenate(parts)
-                    if len(w) < span:
-                        continue
-                    n = np.array(sizes)
-                    doc = np.repeat(np.arange(len(n)), n)
-                    fits = np.repeat(np.cumsum(n), n) - np.arange(len(w)) >= span
-                    d, i, longest, windows, changes = ix.overlaps(doc, w, fits, changed)
-                    if len(d):
-                        yield pa.RecordBatch.from_arrays([pa.array(x.astype(np.int64)) for x in (ids[first:at][d], i, longest, windows, changes)], ["doc_id", "item_id", "run_words", "windows", "changes"])
-
-        part = corpus.mapInArrow(run, _OUT)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        return spark.createDataFrame([], _OUT)
-    return found.distinct()
+    asked = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.col("text") != "")).distinct()
+    seeds = checkpoint(_seeds(asked, span, masks), "seeds")
+    corpus = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("text") != ""))
+    passed = checkpoint(_seeds(corpus, span, masks, _sieve(spark, seeds)), "passed")
+    known = seeds.select("seed", F.col("window").alias("own")).distinct()
+    misses = sum((F.substring("window", 8 * p + 1, 8) != F.substring("own", 8 * p + 1, 8)).cast("int") for p in range(span))
+    met = spread_join(passed, known, "seed", ["id", "at"]).withColumn("misses", misses).filter(F.col("misses") <= changed)
+    met = checkpoint(met.select(F.col("id").alias("doc_id"), F.col("at").alias("d"), "own", "misses").distinct(), "met")
+    places = seeds.select(F.col("window").alias("own"), F.col("id").alias("item_id"), F.col("at").alias("e")).distinct()
+    return spread_join(met, places, "own", ["doc_id", "d"]).select("doc_id", "item_id", "d", "e", "misses")
+
+
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
+          changed: int = 1, span: int = SPAN, masks: tuple[tuple[int, ...], ...] = MASKS) -> DataFrame:
+    """Documents that contain passages of evaluation items, with how much of them.
+
+    A row for each (doc_id, item_id) with a window that agrees but for at most ``changed`` words (see
+    ``leak_hits``): ``run_words`` is the longest run of equal words if it has ``span`` or more, else 0;
+    ``windows`` counts the agreeing windows, ``changes`` is the least number of changed words in one, and
+    ``extent`` the words of the longest passage: windows at the same distance that touch or overlap, changed
+    words between them included.
+    """
+    hits = checkpoint(leak_hits(docs, items, doc_id, item_id, text, changed, span, masks), "hits")
+    line = Window.partitionBy("doc_id", "item_id", F.col("d") - F.col("e"))
+    in_order = line.orderBy("d")
+    exact = hits.filter("misses = 0").withColumn("run", F.col("d") - F.row_number().over(in_order))
+    runs = exact.groupBy("doc_id", "item_id", (F.col("d") - F.col("e")).alias("line"), "run").agg((F.count(F.lit(1)) + (span - 1)).alias("n")).groupBy("doc_id", "item_id").agg(F.max("n").alias("run_words"))
+    apart = F.coalesce((F.col("d") - F.lag("d").over(in_order) > span).cast("int"), F.lit(1))
+    chained = hits.withColumn("apart", apart).withColumn("chain", F.sum("apart").over(in_order))
+    chains = chained.groupBy("doc_id", "item_id", (F.col("d") - F.col("e")).alias("line"), "chain").agg((F.max("d") - F.min("d") + span).alias("extent"), F.count(F.lit(1)).alias("windows"), F.min("misses").alias("changes"))
+    whole = chains.groupBy("doc_id", "item_id").agg(F.sum("windows").alias("windows"), F.min("changes").cast("long").alias("changes"), F.max("extent").cast("long").alias("extent"))
+    return whole.join(runs, ["doc_id", "item_id"], "left").select("doc_id", "item_id", F.coalesce("run_words", F.lit(0)).cast("long").alias("run_words"), "windows", "changes", "extent")

@@ -15,36 +15,22 @@ from itertools import chain
 
 import regex
 
-# Letters of the same shape, by script, each with the letter whose shape it has.
-SAME_SHAPE = {
-    "Latin": "ɑ=a ɡ=g",
-    "Cyrillic": "а=a с=c ԁ=d е=e һ=h і=i ј=j ӏ=l о=o р=p ԛ=q ѕ=s ѵ=v ԝ=w х=x у=y "
-    "А=A В=B С=C Е=E Ԍ=G Н=H І=I Ӏ=I Ј=J К=K М=M О=O Р=P Ԛ=Q Ѕ=S Т=T Ѵ=V Ԝ=W Х=X Ү=Y",
-    "Greek": "ϲ=c ϳ=j ο=o ρ=p ν=v Α=A Β=B Ϲ=C Ε=E Ϝ=F Η=H Ι=I Ϳ=J Κ=K Μ=M Ν=N Ο=O Ρ=P Τ=T Χ=X Υ=Y Ζ=Z Γ=Г Π=П Φ=Ф",
-    "Armenian": "օ=o հ=h ո=n ս=u Օ=O Տ=S Ս=U",
-    "Cherokee": "Ꭺ=A Ᏼ=B Ꮯ=C Ꭰ=D Ꭼ=E Ꮐ=G Ꮋ=H Ꭻ=J Ꮶ=K Ꮮ=L Ꮇ=M Ꮲ=P Ꭱ=R Ꮪ=S Ꭲ=T Ꮩ=V Ꮃ=W Ꮓ=Z",
-    "Coptic": "Ⲏ=H Ⲓ=I Ⲕ=K Ⲙ=M Ⲛ=N Ⲟ=O ⲟ=o Ⲣ=P ⲣ=p Ⲥ=C ⲥ=c Ⲧ=T Ⲩ=Y Ⲭ=X Ⳑ=L",
-    "Lisu": "ꓐ=B ꓑ=P ꓒ=d ꓓ=D ꓔ=T ꓖ=G ꓗ=K ꓙ=J ꓚ=C ꓜ=Z ꓝ=F ꓟ=M ꓠ=N ꓡ=L ꓢ=S ꓣ=R ꓦ=V ꓧ=H ꓪ=W ꓫ=X ꓬ=Y ꓮ=A ꓰ=E ꓲ=I ꓳ=O ꓴ=U",
-    "Canadian_Aboriginal": "ᐯ=V ᑌ=U ᑭ=P ᑯ=d ᑲ=b ᒍ=J ᒪ=L ᕁ=x ᕼ=H ᖇ=R ᖴ=F ᗅ=A ᗪ=D ᗰ=M ᗷ=B",
-    "Tifinagh": "ⴸ=V ⴹ=E ⵏ=I ⵔ=O ⵕ=Q ⵝ=X",
-    "Lycian": "𐊂=B 𐊆=E 𐊇=F 𐊊=I 𐊐=X 𐊒=O 𐊕=P 𐊖=S 𐊗=T",
-    "Carian": "𐊠=A 𐊡=B 𐊢=C 𐊥=F 𐊫=O 𐊰=M 𐊱=T 𐊲=Y 𐊴=X 𐋏=H",
-    "Old_Italic": "𐌁=B 𐌂=C 𐌉=I 𐌑=M 𐌕=T 𐌗=X",
-    "Deseret": "𐐄=O 𐐕=C 𐐛=L 𐐠=S 𐐬=o 𐐽=c 𐑈=s",
-    "Osage": "𐒴=R 𐓂=O 𐓎=U 𐓪=o 𐓶=u",
-    "Elbasan": "𐔓=N 𐔖=O 𐔘=K 𐔜=C 𐔝=V 𐔥=F 𐔦=L 𐔧=X",
-    "Katakana": "ヘ=へ",
-    "Han": "二=ニ 力=カ 口=ロ 工=エ 卜=ト 夕=タ 八=ハ",
-}
-#: Where several scripts can spell a whole token, the first of these is taken.
+#: Scripts whose letters are compared by shape, in the order in which a token is spelled where several can spell it.
 PREFERRED = ("Latin", "Cyrillic", "Greek", "Armenian", "Cherokee", "Hiragana", "Katakana", "Han", "Coptic", "Lisu", "Canadian_Aboriginal", "Tifinagh", "Lycian", "Carian", "Old_Italic", "Deseret", "Osage", "Elbasan")
+# Likenesses in Unicode's confusables that are no more than that: other forms, other heights, a dot or serif less.
+LOOSE = "ͺαγισυϒϱϺᴦ УЬгѡүҽꙇ ագզռցք ᎥᎩᎽᏂᏏᏒᏔᏕᏧᏳꭵꮁ ᕽᖯᗞ ⲅ"
+# Letters of one shape that the confusables leave out or give another double, as letter=double.
+EXTRA = "ɑ=a ɡ=g ᴄ=c ᴏ=o ᴠ=v ᴡ=w ᴢ=z ᴜ=u ꜱ=s ӏ=l Ԛ=Q Γ=Г Π=П Φ=Ф ヘ=へ 二=ニ 力=カ 口=ロ 工=エ 卜=ト 夕=タ 八=ハ"
+_RANGES = ((0x80, 0x3100), (0xA000, 0xAC00), (0xFB00, 0xFE00), (0x10000, 0x12000), (0x16000, 0x17000), (0x1E000, 0x1F000))
 #: Marks that are formatting characters by category but are drawn.
 _DRAWN_FORMATS = regex.compile(r"\p{Prepended_Concatenation_Mark}")
 _NO_WIDTH = regex.compile(r"[\p{Cf}\p{Default_Ignorable_Code_Point}]")
 _FILLERS = "\u115f\u1160\u3164\uffa0"  # ignorable by default, yet as wide as a letter
+# Tags of letters drawn as they stand in a word, one or several joined (Arabic presentation forms).
+_JOINED = ("<initial", "<medial", "<final", "<isolated")
 # Letter symbols of the shape of their letter: micro sign, Hebrew symbols, radicals, single jamo.
 _SYMBOLS = ((0xB5, 0xB5), (0x2135, 0x2138), (0x2E80, 0x2FD5), (0x3131, 0x318E))
-_TOKEN = regex.compile(r"[\p{L}\p{M}]+")
+TOKEN = regex.compile(r"[\p{L}\p{M}]+")
 _SCRIPTS = {name: regex.compile(rf"\p{{Script={name}}}") for name in PREFERRED}
 _COMMON = regex.compile(r"[\p{Script=Common}\p{Script=Inherited}]")
 
@@ -62,7 +48,7 @@ def _plain(c: str) -> str | None:
     if not tag:
         return None
     into = "".join(chr(int(x, 16)) for x in codes.split())
-    if tag in ("<wide", "<narrow", "<font"):
+    if tag in ("<wide", "<narrow", "<font") or tag in _JOINED and all(unicodedata.category(x)[0] in "LM" for x in into):
         return into
     if tag == "<compat" and kind[0] in "LN" and kind not in ("Nd", "No"):
         # joined letters; letters that number (roman numerals); other single letters mostly have a shape of their own
@@ -84,14 +70,53 @@ def _simple() -> dict[int, str]:
     return table
 
 
+def letter_shapes(spark) -> dict[str, list[tuple[str, str]]]:
+    """Letters by script with the letter whose shape each has.
+
+    Taken from Unicode's confusables in the ICU library that comes with Spark: letters of the scripts above
+    (but Latin) whose skeleton is one ASCII letter, less ``LOOSE`` and with ``EXTRA``. ICU writes a capital
+    I as l; letters without a small form of that shape are put back.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    empty = lambda kind: gateway.new_array(kind, 0)
+    checker = jvm.java.lang.Class.forName("com.ibm.icu.text.SpoofChecker$Builder").getConstructor(empty(jvm.java.lang.Class)).newInstance(empty(jvm.java.lang.Object)).build()
+    letters = [c for a, b in _RANGES for c in map(chr, range(a, b)) if unicodedata.category(c)[0] == "L" and unicodedata.normalize("NFD", c) == c]
+    doubles = dict(zip(letters, checker.getSkeleton("\n".join(letters)).split("\n")))
+    extra = dict(pair.split("=") for pair in EXTRA.split())
+    found: dict[str, list[tuple[str, str]]] = {}
+    for c, double in sorted((doubles | extra).items()):
+        if c not in extra:
+            if len(double) != 1 or not (double.isascii() and double.isalpha()) or c in LOOSE or _plain(c) is not None or _script(c) not in PREFERRED[1:]:
+                continue
+            if double == "l" and unicodedata.category(c) != "Ll":
+                double = "I"
+        found.setdefault(_script(c), []).append((c, double))
+    return found
+
+
+_TABLE: dict[str, list[tuple[str, str]]] = {}
+
+
+def use(table: dict[str, list[tuple[str, str]]]) -> None:
+    """Work with these letter shapes in this process; tasks get them with their function."""
+    if table != _TABLE:
+        _TABLE.clear()
+        _TABLE.update(table)
+        _shapes.cache_clear()
+        _folds.cache_clear()
+        for known in (_forms, _parts, _runs):
+            known.clear()
+
+
 @cache
 def _shapes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
     """Prototype of each letter in the table; of each prototype its spelling by script."""
+    if not _TABLE:
+        raise RuntimeError("letter shapes are not loaded: use(letter_shapes(spark))")
     of: dict[str, str] = {}
     spelled: dict[str, dict[str, str]] = {}
-    for name, line in SAME_SHAPE.items():
-        for pair in line.split():
-            letter, proto = pair.split("=")
+    for name, pairs in _TABLE.items():
+        for letter, proto in pairs:
             own = spelled.setdefault(proto, {})
             if not own:
                 own[_script(proto)] = proto
@@ -103,13 +128,46 @@ def _shapes() -> tuple[dict[str, str], dict[str, dict[str, str]]]:
 
 @cache
 def _script(c: str) -> str:
-    """The script of a letter; empty for what goes with any script."""
+    """The script of a letter; empty for what goes with any script. Beyond the scripts above, the script's name in that of the letter."""
     if _COMMON.match(c):
         return ""
     for name, pattern in _SCRIPTS.items():
         if pattern.match(c):
             return name
-    return "other"
+    return re.split(r" (?:LETTER|SYLLABLE|SYLLABICS|CAPITAL|SMALL|VOWEL|SIGN|CHARACTER|IDEOGRAPH|MARK|LIGATURE|CONSONANT)\b|-", unicodedata.name(c, "OTHER"))[0].title()
+
+
+#: Systems of writing that use several scripts together count as one: Japanese, Korean, and Chinese with its phonetic letters.
+_TOGETHER = {"Han": {"Han", "Japanese", "Korean", "Chinese"}, "Hiragana": {"Hiragana", "Japanese"}, "Katakana": {"Katakana", "Japanese"}, "Hangul": {"Hangul", "Korean"}, "Bopomofo": {"Bopomofo", "Chinese"}}
+_SHARED = {name: regex.compile(rf"\p{{Script_Extensions={name}}}") for name in (*PREFERRED, "Hangul", "Bopomofo", "Arabic", "Syriac", "Thaana", "Devanagari", "Bengali", "Gujarati", "Gurmukhi", "Kannada", "Malayalam", "Oriya", "Tamil", "Telugu", "Georgian", "Glagolitic", "Gothic", "Ethiopic", "Thai", "Lao", "Hebrew", "Mongolian", "Myanmar", "Khmer", "Tibetan")}
+
+
+@cache
+def _extended(c: str) -> frozenset[str] | None:
+    """The scripts a character belongs to, by its extensions, with the systems of writing they are part of; None if it goes with any."""
+    if _COMMON.match(c) and not any(p.match(c) for p in _SHARED.values()):
+        return None
+    names = {n for n, p in _SHARED.items() if p.match(c)} or {_script(c)}
+    return frozenset(x for n in names for x in _TOGETHER.get(n, {n}))
+
+
+def resolved_scripts(token: str) -> frozenset[str] | None:
+    """Scripts that all characters of a token share; empty for a mixed token, None if no character tells."""
+    sets = [s for c in token if (s := _extended(c)) is not None]
+    return frozenset.intersection(*sets) if sets else None
+
+
+def confusable(token: str) -> str | None:
+    """``mixed`` if a token needs several scripts although its shapes can be spelled in one, ``mixed_only`` if they can't either;
+    ``whole`` if it stands in one script but its shapes spell it in a preferred other one; None otherwise."""
+    token = unicodedata.normalize("NFD", token)
+    own = resolved_scripts(token)
+    if own is None:
+        return None
+    form = consistent_token(token)
+    if not own:
+        return "mixed" if resolved_scripts(form) else "mixed_only"
+    return "whole" if form != token and not (resolved_scripts(form) or frozenset()) & own else None
 
 
 class _Forms(dict):
@@ -158,7 +216,7 @@ _forms = _Forms()
 def _form(text: str) -> str:
     text = unicodedata.normalize("NFD", text.translate(_simple()))
     if not text.isascii():
-        text = _TOKEN.sub(lambda m: t if (t := m.group()).isascii() else _forms[t], text)
+        text = TOKEN.sub(lambda m: t if (t := m.group()).isascii() else _forms[t], text)
     return unicodedata.normalize("NFC", text)
 
 
@@ -197,8 +255,7 @@ def _folds() -> tuple[dict[int, str], dict[int, str]]:
     of, _ = _shapes()
     first = {ord(c): p for c, p in of.items() if c != p}
     later = {}
-    for pair in chain.from_iterable(SAME_SHAPE[name].split() for name in ("Cyrillic", "Coptic", "Deseret", "Osage")):
-        letter, proto = pair.split("=")
+    for letter, proto in chain.from_iterable(_TABLE.get(name, []) for name in ("Cyrillic", "Coptic", "Deseret", "Osage")):
         small = letter.casefold()
         if small != letter and of.get(small) != proto.casefold():
             later[ord(small)] = proto.casefold()

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..plans import sqlhash
 from ..session import table
-from .leak import SPAN, leaks
-from .lookalike import consistent_text, lookalike_pairs
+from .leak import PLANE, leak_hits, leaks
+from .lookalike import confusable_tokens, consistent_text, lookalike_classes, lookalike_pairs
 from .seen import REMAINDER_BITS, SHARD_KEYS, answered, error_report
 from .tokens import token_ids
 
@@ -43,17 +43,17 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter(F.col("run_words") >= SPAN).select("doc_id", "item_id")
+    return leak_hits(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
 
 def p7_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """All overlaps, those with a changed word too, with their extent."""
-    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"))
+    """All overlaps, those with one or two changed words in a window too, with their extent."""
+    return leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), changed=2, masks=PLANE)
 
 
 def p7_items(spark: SparkSession, d: str) -> DataFrame:
     """Every evaluation item with the number of documents that hold 13 of its words in a row, and the longest run."""
-    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items")).filter(F.col("run_words") >= SPAN)
+    found = leaks(table(spark, d, "documents"), table(spark, d, "eval_items"), changed=0)
     per_item = found.groupBy("item_id").agg(F.count(F.lit(1)).alias("docs"), F.max("run_words").alias("longest"))
     items = table(spark, d, "eval_items").select("item_id", "task", "split")
     return items.join(per_item, "item_id", "left").select("item_id", "task", "split", F.coalesce("docs", F.lit(0)).alias("docs"), F.coalesce("longest", F.lit(0)).alias("longest"))
@@ -69,7 +69,17 @@ def p8_forms(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("doc_id", "form", (~F.col("form").eqNullSafe(F.col("text"))).alias("changed"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_size, p6_ids, p6_totals, p7_found, p7_overlaps, p7_items, p8_found, p8_forms)}
+def p8_classes(spark: SparkSession, d: str) -> DataFrame:
+    """Each document that has a double in other characters, with its class and the number of its links."""
+    return lookalike_classes(table(spark, d, "documents"))
+
+
+def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """Words in mixed scripts or wholly in letters that look like another script's."""
+    return confusable_tokens(table(spark, d, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_size, p6_ids, p6_totals, p7_found, p7_overlaps, p7_items, p8_found, p8_classes, p8_tokens, p8_forms)}
 
 _BITS = "CAST(greatest(0, ceil(log2(greatest(1, {n}) / {keys}))) AS INTEGER)"
 #: The filter as a set of fingerprints with first positions: the leading bits of the hash, as many as the widths give.

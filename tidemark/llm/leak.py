@@ -56,10 +56,11 @@ _hashes = _Hashes()
 _SEEDS = "id long, at int, seed long, window binary"
 
 
-def _seeds(rows: DataFrame, span: int, masks: tuple[tuple[int, ...], ...], sieve=None) -> DataFrame:
+def _seeds(rows: DataFrame, span: int, masks: tuple[tuple[int, ...], ...], sieve=None, every: bool = False) -> DataFrame:
     """(id, at, seed, window) of the windows of texts (id, text), for each mask; with a sieve only those it lets through.
 
-    A window is the hashes of its words. Rows come out batch by batch; a text is one value and stays in one task.
+    With ``every`` all masks must pass and the first one's seed comes out: a window without changed words hits under
+    each. A window is the hashes of its words. Rows come out batch by batch; a text is one value and stays in one task.
     """
     table = look.letter_shapes(rows.sparkSession)
 
@@ -67,6 +68,11 @@ def _seeds(rows: DataFrame, span: int, masks: tuple[tuple[int, ...], ...], sieve
         look.use(table)
         of, bits = _hashes.__getitem__, None if sieve is None else sieve.value
         places = None if bits is None else np.uint64(8 * len(bits) - 1)
+
+        def passes(h: np.ndarray) -> np.ndarray:
+            place = h & places
+            return ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
         for b in batches:
             ids, texts, here = b.column(0).to_numpy(), b.column(1).to_pylist(), 0
             while here < len(texts):
@@ -84,15 +90,18 @@ def _seeds(rows: DataFrame, span: int, masks: tuple[tuple[int, ...], ...], sieve
                 doc = np.repeat(np.arange(len(n)), n)
                 for number, mask in enumerate(masks):
                     h = _window_hashes(w, number, mask, span)
-                    keep = fits
-                    if bits is not None:
-                        place = h & places
-                        keep = fits & ((bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+                    keep = fits if bits is None else fits & passes(h)
+                    if every:
+                        for other in range(1, len(masks)):
+                            if keep.any():
+                                keep &= passes(_window_hashes(w, other, masks[other], span))
                     pos = np.flatnonzero(keep)
                     for cut in range(0, len(pos), 50_000):
                         p = pos[cut:cut + 50_000]
                         body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * span), len(p), [None, pa.py_buffer(np.ascontiguousarray(w[p[:, None] + np.arange(span)]).tobytes())])
                         yield pa.RecordBatch.from_arrays([pa.array(ids[first:here][doc[p]]), pa.array((p - start[doc[p]]).astype(np.int32)), pa.array(h[p].view(np.int64)), body.cast(pa.binary())], ["id", "at", "seed", "window"])
+                    if every:
+                        break
 
     return rows.mapInArrow(run, _SEEDS)
 
@@ -129,7 +138,7 @@ def leak_hits(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id
     asked = items.select(F.col(item_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("id").isNotNull() & (F.col("text") != "")).distinct()
     seeds = checkpoint(_seeds(asked, span, masks), "seeds")
     corpus = spread(docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).filter(F.col("text") != ""))
-    passed = checkpoint(_seeds(corpus, span, masks, _sieve(spark, seeds)), "passed")
+    passed = checkpoint(_seeds(corpus, span, masks, _sieve(spark, seeds), changed == 0), "passed")
     known = seeds.select("seed", F.col("window").alias("own")).distinct()
     misses = sum((F.substring("window", 8 * p + 1, 8) != F.substring("own", 8 * p + 1, 8)).cast("int") for p in range(span))
     met = spread_join(passed, known, "seed", ["id", "at"]).withColumn("misses", misses).filter(F.col("misses") <= changed)

@@ -79,3 +79,29 @@ def test_whole_documents(spark, library):
     docs = spark.read.parquet(path)
     want = {r["doc_id"]: library(r["text"]) if r["text"] else [] for r in docs.select("doc_id", "text").collect()}
     assert {r["doc_id"]: r["ids"] for r in token_ids(docs).collect()} == want
+
+
+def test_edits_stop_where_the_old_table_holds_again(bpe):
+    rnd = random.Random(3)
+    data = b" ".join(rnd.choice([b"alpha", b"beta-gamma", b"12345", b"xx", "naïve".encode()]) for _ in range(3000))
+    table = Prefixes(bpe, data)
+    for _ in range(20):
+        a = rnd.randrange(len(table.data))
+        new = rnd.choice([b"", b"q", b"delta epsilon", b"    "])
+        b = min(len(table.data), a + rnd.randrange(6))
+        want = table.data[:a] + new + table.data[b:]
+        again = table.edit(a, b, new)
+        assert table.data == want and table.table == Prefixes(bpe, want).table and again <= 3 * bpe.longest
+
+
+def test_other_splittings_are_refused():
+    import json
+
+    from tidemark.llm.bpe import Bpe
+    from tidemark.llm.tokens import TOKENIZER
+
+    with open(TOKENIZER, "rb") as f:
+        whole = json.load(f)
+    for change in ({"pre_tokenizer": {"type": "Whitespace"}}, {"normalizer": {"type": "NFC"}}, {"model": whole["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError):
+            Bpe(json.dumps(whole | change).encode())

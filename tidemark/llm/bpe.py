@@ -44,21 +44,26 @@ class Bpe:
     """An encoder made from the JSON of a byte-level BPE tokenizer (vocabulary and ordered merges)."""
 
     def __init__(self, source: bytes):
-        model = json.loads(source)["model"]
+        whole = json.loads(source)
+        model, split = whole["model"], whole.get("pre_tokenizer") or {}
+        if whole.get("normalizer") or split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space"):
+            raise ValueError("not a byte-level tokenizer that splits by the pattern of this module")
+        if model.get("type") != "BPE" or any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")):
+            raise ValueError("not a plain byte-level BPE")
         byte_of = _byte_of()
         raw = lambda t: bytes(byte_of[c] for c in t)
         ids = model["vocab"]
         self.bytes_of: dict[int, bytes] = {}
         self.parts: dict[int, tuple[int, int]] = {}
         self.rank: dict[int, int] = {}  # of the merge that makes a token; absent for single bytes
-        self.merge: dict[tuple[int, int], int] = {}  # rank of a pair
+        self.merge: dict[int, int] = {}  # rank of a pair, left << 20 | right
         for t, i in ids.items():
             if len(t) == 1 and t in byte_of:
                 self.bytes_of[i] = raw(t)
         for n, pair in enumerate(model["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             i, l, r = ids[a + b], ids[a], ids[b]
-            self.merge.setdefault((l, r), n)
+            self.merge.setdefault(l << 20 | r, n)
             if i not in self.parts:
                 self.parts[i], self.rank[i], self.bytes_of[i] = (l, r), n, raw(a + b)
         self.ends: dict[int, list[tuple[int, int]]] = {}
@@ -96,11 +101,12 @@ class Bpe:
         A pair at the border merges if both parts still stand at its rank. On equal ranks the pair further
         left goes first: the one inside a before the border, the border before the one inside b.
         """
-        merge = self.merge
-        for x, gone_x in self._spine(a, True):
-            for y, gone_y in self._spine(b, False):
-                rank = merge.get((x, y))
-                if rank is not None and rank < before and rank < gone_x and rank <= gone_y:
+        rank_of, firsts = self.merge.get, self.starts.get(b) or self._spine(b, False)
+        for x, gone_x in self.ends.get(a) or self._spine(a, True):
+            left, until = x << 20, gone_x if gone_x < before else before
+            for y, gone_y in firsts:
+                rank = rank_of(left | y, until)
+                if rank < until and rank <= gone_y:
                     return True
         return False
 
@@ -128,7 +134,7 @@ class Bpe:
     # -- encoding -------------------------------------------------------------------------------------
     def extend(self, table: list[int], data: bytes, start: int) -> None:
         """Fill the table of last tokens for the prefixes longer than ``start``."""
-        follows, may_follow = self._follows, self.may_follow
+        known, may_follow = self._follows.get, self.may_follow
         table.extend([-1] * (len(data) - len(table) + 1))
         # tokens that end after start can begin before it: the scan goes back by the longest token
         back = max(0, start - self.longest)
@@ -138,7 +144,7 @@ class Bpe:
                 continue
             if i != size:
                 last = table[i - size]
-                fits = follows.get(last << 20 | token)
+                fits = known(last << 20 | token)
                 if fits is None:
                     fits = may_follow(last, token)
                 if not fits:
@@ -230,10 +236,26 @@ class Prefixes:
         self.data = self.data[:length]
         del self.table[length + 1:]
 
-    def edit(self, start: int, stop: int, new: bytes) -> None:
-        tail = self.data[stop:]
-        self.cut(start)
-        self.append(new + tail)
+    def edit(self, start: int, stop: int, new: bytes) -> int:
+        """Put ``new`` in place of data[start:stop]; gives how many bytes behind it were filled in again.
+
+        An entry depends on no more bytes and entries before it than the longest token has. So once as many
+        entries behind the edit agree with those of the old table, all later ones do, and are taken over.
+        """
+        old, tail, far = self.table, self.data[stop:], self.bpe.longest
+        self.table = old[:start + 1]
+        self.data = self.data[:start]
+        self.append(new)
+        shift, done = len(new) - (stop - start), 0
+        while done < len(tail):
+            self.append(tail[done:done + far])
+            done = min(done + far, len(tail))
+            here = len(self.data)
+            if done >= far and self.table[here - far + 1:] == old[here - far + 1 - shift:here + 1 - shift]:
+                self.table += old[here + 1 - shift:]
+                self.data += tail[done:]
+                break
+        return done
 
     def ids(self) -> list[int]:
         return self.bpe.read_off(self.table)

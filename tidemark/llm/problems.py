@@ -10,7 +10,7 @@ from ..session import table
 from .leak import PLANE, leak_hits, leaks
 from .lookalike import confusable_tokens, consistent_text, lookalike_classes, lookalike_pairs
 from .seen import REMAINDER_BITS, SHARD_KEYS, answered, error_report
-from .tokens import token_ids
+from .tokens import edit_check, token_ids
 
 
 def _seen(query, spark: SparkSession, d: str) -> DataFrame:
@@ -42,6 +42,12 @@ def p6_totals(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum(F.size("ids")).alias("tokens"), F.sum("chars").alias("chars"))
 
 
+def p6_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Texts of each language, and those of them for which appending, editing and editing the prefix table give the ids of encoding anew."""
+    rows = edit_check(table(spark, d, "documents"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), *[F.count_if(c).alias(c) for c in ("appended", "edited", "table")]).withColumnRenamed("table", "prefixes")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return leak_hits(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
 
@@ -79,7 +85,7 @@ def p8_tokens(spark: SparkSession, d: str) -> DataFrame:
     return confusable_tokens(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_size, p6_ids, p6_totals, p7_found, p7_overlaps, p7_items, p8_found, p8_classes, p8_tokens, p8_forms)}
+QUERIES = {f.__name__: f for f in (p4_found, p4_errors, p4_size, p6_ids, p6_totals, p6_edits, p7_found, p7_overlaps, p7_items, p8_found, p8_classes, p8_tokens, p8_forms)}
 
 _BITS = "CAST(greatest(0, ceil(log2(greatest(1, {n}) / {keys}))) AS INTEGER)"
 #: The filter as a set of fingerprints with first positions: the leading bits of the hash, as many as the widths give.
@@ -95,6 +101,7 @@ _HASHED = "keys AS (SELECT DISTINCT key FROM (SELECT key FROM wal_record UNION A
 SQL: dict[str, str] = {
     "p4_found": """WITH f AS (SELECT key, min(lsn) AS lsn FROM wal_record WHERE key <> '' GROUP BY key)
 SELECT DISTINCT pos FROM kv_request r JOIN f ON r.key = f.key WHERE f.lsn <= r.log_end""",
+    "p6_edits": "SELECT lang, count(*) AS docs, count(*) AS appended, count(*) AS edited, count(*) AS prefixes FROM documents GROUP BY lang",
     "p4_errors": _FILTER.replace("{CTES}", _HASHED) + """, c AS (SELECT (SELECT count(DISTINCT pos) FROM q) AS requests, (SELECT count(*) FROM g) AS stored,
   (SELECT count(*) FROM a) AS positives, (SELECT count(*) FROM a WHERE seen IS DISTINCT FROM true) AS wrong)
 SELECT requests, stored, positives, wrong, round(CASE WHEN requests - positives + wrong > 0 THEN wrong / (requests - positives + wrong) ELSE 0 END, 9) AS measured_rate,

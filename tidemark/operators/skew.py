@@ -30,22 +30,17 @@ def key_counts(compressed: DataFrame, keys: list[str], weight: str = "weight", o
     return compressed.groupBy(*keys).agg(F.sum(weight).alias(out))
 
 
-def heavy_keys(compressed: DataFrame, scope: str, key: str, percent: int, n_scopes: int, weight: str = "weight") -> DataFrame:
+def heavy_keys(compressed: DataFrame, scope: str, key: str, percent: int, weight: str = "weight") -> DataFrame:
     """Keys with at least ``percent`` % of all records of their scope (exact, integer arithmetic).
 
-    ``scope`` is a column with at most ``n_scopes`` values (a table name, say): the totals have a row for
-    each, which is why they may be broadcast. Records with a null or empty key count in the total and are
-    never keys themselves. At most 100/percent keys come out for a scope.
+    ``scope`` is a column, the name of a table, say; few scopes with most of the keys each are spread when the
+    totals are joined. Records with a null or empty key count in the total and are never keys themselves. At most
+    100/percent keys come out for a scope.
     """
-    counts = checkpoint(key_counts(compressed, [scope, key], weight, "n"), "counts")  # a row per key, read twice
+    counts = checkpoint(key_counts(compressed, [scope, key], weight, "n"), "counts")  # a row per key, read three times
     totals = counts.groupBy(scope).agg(F.sum("n").alias("__total"))
-    if n_scopes <= 1000:
-        totals = F.broadcast(totals)
-    return (
-        counts.filter(F.col(key) != "").join(totals, scope)
-        .filter(F.col("n") * 100 >= F.col("__total") * percent)
-        .select(scope, key, "n")
-    )
+    known = spread_join(counts.filter(F.col(key) != ""), totals, scope, [key])
+    return known.filter(F.col("n") * 100 >= F.col("__total") * percent).select(scope, key, "n")
 
 
 def key_profile(compressed: DataFrame, keys: list[str], value: str, weight: str = "weight") -> DataFrame:

@@ -42,7 +42,7 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     wal = table(spark, d, "wal_record").select(F.lit("wal_record").alias("tbl"), "key", F.col("op").alias("v"))
     writes = table(spark, d, "replica_write").select(F.lit("replica_write").alias("tbl"), "key", F.col("target_node").alias("v"))
     weighted = compress(wal.unionByName(writes), ["tbl", "key"], "v")
-    return heavy_keys(weighted, "tbl", "key", HEAVY_PERCENT, n_scopes=2).select("tbl", "key")
+    return heavy_keys(weighted, "tbl", "key", HEAVY_PERCENT).select("tbl", "key")
 
 
 def p2_profile(spark: SparkSession, d: str) -> DataFrame:

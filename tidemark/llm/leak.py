@@ -107,9 +107,9 @@ def _seeds(rows: DataFrame, span: int, masks: tuple[tuple[int, ...], ...], sieve
 
 
 def _sieve(spark: SparkSession, seeds: DataFrame):
-    """Bits of the seeds there are, about 32 places for each: at most 2^27 of them, so a broadcast of 16 MB whatever the
+    """Bits of the seeds there are, 32 places for each or more: at most 2^27 of them, so a broadcast of 16 MB whatever the
     items. When it is fuller it lets more through, which costs time and changes nothing."""
-    n = seeds.select("seed").distinct().count()
+    n = seeds.count()
     k = min(_SIEVE[1], max(_SIEVE[0], (32 * max(1, n)).bit_length()))
     place = F.col("seed").bitwiseAND(F.lit((1 << k) - 1))
     marks = seeds.select(F.shiftright(place, 5).alias("word"), place.bitwiseAND(F.lit(31)).alias("bit")).groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, cast(bit as int))")).alias("marks"))

@@ -54,8 +54,8 @@ def test_heavy_keys_are_exact(spark):
     rows = [("t", "a")] * 2 + [("t", "b")] * 3 + [("t", None)] * 90 + [("t", "")] * 5 + [("u", "a")]
     df = spark.createDataFrame([(*r, "v") for r in rows], "tbl string, key string, v string")
     c = compress(df, ["tbl", "key"], "v")
-    assert {tuple(r) for r in heavy_keys(c, "tbl", "key", 3, 2).collect()} == {("t", "b", 3), ("u", "a", 1)}
-    assert heavy_keys(compress(df.limit(0), ["tbl", "key"], "v"), "tbl", "key", 3, 2).count() == 0
+    assert {tuple(r) for r in heavy_keys(c, "tbl", "key", 3).collect()} == {("t", "b", 3), ("u", "a", 1)}
+    assert heavy_keys(compress(df.limit(0), ["tbl", "key"], "v"), "tbl", "key", 3).count() == 0
 
 
 def test_distributed_rank_is_a_permutation(spark):
